@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import arc, bpe, hostrules, mixing
+from millrace.llm import arc, bpe, hostrules, mixing, ngram_join
 
-MODULES = (bpe, mixing, arc, hostrules)
+MODULES = (bpe, mixing, arc, hostrules, ngram_join)
 
 
 def queries() -> dict:

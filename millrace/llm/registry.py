@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import arc, bpe, hostrules, mixing, ngram_join
+from millrace.llm import arc, bpe, hostrules, mixing, ngram_join, pq
 
-MODULES = (bpe, mixing, arc, hostrules, ngram_join)
+MODULES = (bpe, mixing, arc, hostrules, ngram_join, pq)
 
 
 def queries() -> dict:

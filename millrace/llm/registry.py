@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import arc, bpe, hostrules, mixing, ngram_join, pq, suffix
+from millrace.llm import arc, bpe, hmm, hostrules, mixing, ngram_join, pq, suffix
 
-MODULES = (bpe, mixing, arc, hostrules, ngram_join, pq, suffix)
+MODULES = (bpe, mixing, hmm, arc, hostrules, ngram_join, pq, suffix)
 
 
 def queries() -> dict:

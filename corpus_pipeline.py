@@ -1,4 +1,68 @@
-"""placeholder"""
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to token ids: rules, near-duplicates, personal data, mixture, encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, hostrules, mixing, ngram_join, surrogates
+from millrace.llm.common import join_small, stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host does. A null text fails."""
+    return hostrules.judged(docs).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group that shingles of five words link at a similarity of 0.8 or more.
+    Documents without words, or without doc_id, stay."""
+    found = ngram_join.groups(docs, size=5, percent=80)
+    others = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(), "others")
+    return join_small(docs, others, F.col("doc_id") == F.col("__other"), "left_anti", others.count(), 1_000_000)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the text."""
+    made = surrogates.with_surrogates(docs)
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass in which the mixture takes words of a document, with the words that it takes, in order."""
+    rows = stored(mixing.placed(docs), "placed")
+    plan = mixing.plan_of(rows)
+    pieces = mixing.mixture(rows, plan).groupBy("number", F.col("first").alias("__first"), "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__parts"), F.sum("n_words").alias("__taken"))
+    names = spark.createDataFrame([(p["number"], p["source"]) for p in plan], "number int, __name string")
+    named = pieces.join(F.broadcast(names) if len(plan) <= 100_000 else names, "number")
+    # Only documents with words have pieces, and of those the first word is their own.
+    taken = rows.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("__name")) & (F.col("first") == F.col("__first")))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.transform(F.array(words), lambda w: F.flatten(F.transform("__parts", lambda p: F.slice(w, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))))[0]
+    text = F.when(F.col("__taken") == F.col("size"), F.col("text")).otherwise(F.array_join(cut, ""))
+    return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), ids_sha256."""
+    ranks, pattern = bpe.production_ranks()
+    return bpe.encode_documents(docs, ranks, pattern, ("n_tokens", "ids", "ids_sha256"), carry=("doc_id", "source"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing to target weights", mixture),
+    ("byte-level BPE", encoding),
+]
+
+#: Keyed permutations and a token vocabulary are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import arc, bpe, hmm, hostrules, mixing, ngram_join, pq, suffix, surrogates
+from millrace.llm import arc, bpe, hmm, hostrules, mixing, ngram_join, pq, suffix, surrogates, toxicity
 
-MODULES = (bpe, mixing, hmm, arc, hostrules, ngram_join, pq, suffix, surrogates)
+MODULES = (bpe, mixing, hmm, arc, hostrules, ngram_join, pq, suffix, surrogates, toxicity)
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ name that is in neither is known to be missing. Templates keep NULL in, NULL out
 
 from __future__ import annotations
 
+import re
+
 SAME = frozenset(
     """lower lcase upper ucase trim ltrim rtrim concat_ws substring substr replace left right reverse translate repeat
     initcap startswith endswith contains levenshtein soundex md5 sha1 sha2 crc32 bit_length octet_length
@@ -29,6 +31,8 @@ SAME = frozenset(
 )
 
 _NUM = "(a, x) -> a + x"
+#: Arguments that need no brackets.
+SIMPLE = re.compile(r"[\w.`]+|'(?:[^'\\]|\\.)*'|\w+\([^()]*\)|\([^()]*\)")
 
 TEMPLATES: dict[str, str | dict[int, str]] = {
     # strings
@@ -316,6 +320,7 @@ def render(name: str, args: list[str]) -> str | None:
         template = template.get(len(args))
     if template is None:
         return None
+    args = [a if SIMPLE.fullmatch(a) or "->" in a else f"({a})" for a in args]
     out, i = [], 0
     while i < len(template):
         if template.startswith("{{", i) or template.startswith("}}", i):

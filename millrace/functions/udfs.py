@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("long")
 def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     known = a.notna() & b.notna()
     out = pd.Series(pd.NA, a.index, dtype="Int64")
@@ -19,7 +18,6 @@ def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
-@pandas_udf("long")
 def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
     known = a.notna() & b.notna()
     out = pd.Series(pd.NA, a.index, dtype="Int64")
@@ -27,12 +25,10 @@ def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
-@pandas_udf("double")
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.lgamma(v) if v is not None and v > 0 else None).astype(float)
 
 
-@pandas_udf("double")
 def nextafter(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.astype(float), y.astype(float)), x.index)
 
@@ -56,7 +52,6 @@ def jaro_score(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
-@pandas_udf("double")
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_score(x, y) for x, y in zip(a, b, strict=True)], a.index, dtype=float)
 
@@ -74,11 +69,14 @@ def merged(a, b):
     return out
 
 
-@pandas_udf("string")
 def merge_patch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else json.dumps(merged(json.loads(x), json.loads(y)), separators=(",", ":")) for x, y in zip(a, b, strict=True)], a.index, dtype=object)
 
 
+#: Result types by name.
+FUNCTIONS = {"gcd": (gcd, "long"), "lcm": (lcm, "long"), "lgamma": (lgamma, "double"), "nextafter": (nextafter, "double"), "jaro": (jaro, "double"), "merge_patch": (merge_patch, "string")}
+
+
 def register(spark: SparkSession) -> None:
-    for name, function in (("gcd", gcd), ("lcm", lcm), ("lgamma", lgamma), ("nextafter", nextafter), ("jaro", jaro), ("merge_patch", merge_patch)):
-        spark.udf.register(f"millrace_{name}", function)
+    for name, (function, kind) in FUNCTIONS.items():
+        spark.udf.register(f"millrace_{name}", pandas_udf(function, kind))

@@ -200,7 +200,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     info = classes.join(gains, classes["cid"] == gains["a"], "left").select("key", (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("n"))
     out = rows.join(info, "key", "left").join(linked, F.col("vec_id") == F.col("node"), "left")
     root = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("n")), F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))
 
 
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

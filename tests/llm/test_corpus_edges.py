@@ -1,0 +1,107 @@
+"""Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import arc, bpe, hmm, hostrules, mixing, ngram_join, pq, suffix, surrogates, toxicity
+
+LONG = " ".join(f"word{i % 97} and{i % 31}" for i in range(12_000))
+ROWS = [
+    (1, "one two three four five six seven eight nine ten eleven", "en", "a", 3),
+    (1, "one two three four five six seven eight nine ten eleven", "en", "a", 3),
+    (2, None, None, None, None),
+    (3, "", "en", "b", 0),
+    (4, " \n\t ", "en", None, 4),
+    (None, "a null id has a text of more than ten words as well you see here", "en", "a", 5),
+    (5, LONG, "en", "b", None),
+    (6, LONG + " tail", "en", "c", 1),
+    (7, "x", "en", "a", 1),
+    (8, "café 日本語 🙂 naïve 'tis it's  two  spaces\r\nline. write to bob@site.org or +1 (212) 555-0100 now please", "fr", "c", 9),
+]
+CLASH = ("n_words", "size", "h", "cid", "key", "times", "kept", "entities", "first", "block", "component", "spans", "row")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return df.withColumns({c: F.lit("clash") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+RANKS = bpe.production_ranks()
+LABELS = "doc_id long, quality int, toxic int"
+OPERATORS = {
+    "bpe": lambda d: bpe.encode_documents(d, *RANKS, ("ids", "n_tokens", "decoded")),
+    "mixing": lambda d: mixing.mixture(r := mixing.placed(d), mixing.plan_of(r)),
+    "hmm": lambda d: hmm.scored(d, head_words=50),
+    "surrogates": surrogates.with_surrogates,
+    "toxicity": lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([(1, 1, 1), (3, 0, 0), (None, 1, 1), (5, None, None)], LABELS)),
+    "hostrules": hostrules.judged,
+    "ngram": ngram_join.groups,
+    "suffix": suffix.removed,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(docs, name):
+    rows = OPERATORS[name](docs).collect()
+    if name != "mixing":  # which has a row for each piece
+        assert len(rows) == len(ROWS)
+        assert sum(r["doc_id"] is None for r in rows) == 1
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(none, name):
+    assert OPERATORS[name](none).collect() == []
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_stages(spark, docs, none, step):
+    name, stage = corpus_pipeline.STAGES[step]
+    out = stage(spark, docs.drop(*CLASH), "")
+    assert out.count() > 0
+    if step < 4:
+        assert out.columns == none.columns
+    assert stage(spark, none, "").count() == 0
+
+
+def test_defined_results(docs):
+    found = {r["doc_id"]: r for r in ngram_join.groups(docs).collect()}
+    assert found[2]["n_shingles"] == 0 and found[2]["component_id"] == 2
+    assert found[6]["component_id"] == 5 and found[None]["component_id"] is None
+    left = {r["doc_id"]: r for r in suffix.removed(docs).collect()}
+    assert left[1]["n_removed"] == 0 and left[6]["n_removed"] > 100_000
+    # The repeats inside the long text are removed too.
+    assert left[5]["n_removed"] > 0
+    kept = {r["doc_id"]: r for r in hostrules.judged(docs).collect()}
+    assert kept[2]["base_failed"] and kept[2]["n_words"] == 0
+    scores = {r["doc_id"]: r for r in toxicity.toxicity(docs, docs.sparkSession.createDataFrame([], LABELS)).collect()}
+    assert all(r["score"] == 0 and r["predicted"] == 0 for r in scores.values())
+
+
+def test_pages(spark):
+    rows = [(1, "http://a b/\n", "same"), (2, None, "same"), (3, "http://c", None), (4, "http://d", ""), (None, "http://e", "same"), (5, "http://f", "a\r\n\r\nb"), (2, "http://again", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1))
+    for version in ("1", "2"):
+        found = arc.archive_index(spark, arc.convert_pages(pages, version)).collect()
+        assert len(found) == 7
+        by = {(r["page_id"], r["record_type"], r["refers_to"]) for r in found}
+        assert by == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (None, "revisit", 2), (5, "response", None)}
+        assert next(r for r in found if r["page_id"] == 5)["payload_bytes"] == 6
+    assert arc.archive_index(spark, arc.convert_pages(pages.limit(0))).count() == 0
+
+
+def test_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [1.0, None, 0.0]), (7, [inf, 0.0, 0.0]), (8, [1.0, 0.1, 0.0]), (8, [1.0, 0.1, 0.0]), (None, [1.0, 0.0, 0.0]), (9, [1.0, 0.0]), (10, [0.0, 1.0, 0.0]), (11, [])]
+    found = pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit(0))).collect()
+    assert len(found) == len(rows)
+    by = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found}
+    assert by[1] == (3, 1, True) and by[2] == (3, 1, False) and by[8] == (3, 1, False)
+    assert all(by[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 9, 10, 11)) and by[None] == (0, None, False)
+    assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -33,8 +33,8 @@ from millrace.llm.components import components
 
 WORDS = 4
 PERCENT = 85
-#: Words of the bitmap of 64 bits each.
-BITMAP = 8
+#: Bits of the least bitmap; a set has the next power of two from its size, so that chance differences always show.
+LEAST_BITS = 128
 TILE = 1500
 #: Documents whose shingles tell which ones are frequent.
 SAMPLE = 8000
@@ -58,10 +58,42 @@ def shingles(text: str | None, size: int = WORDS, known: dict | None = None) ->
 
 def bitmap(values: np.ndarray) -> bytes:
     """Parities of the counts of elements by the last bits of their hashes."""
-    odd = (np.bincount((values & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
+    width = max(LEAST_BITS, 1 << (len(values) - 1).bit_length())
+    odd = (np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
 
 
+class Bitmaps:
+    """Bitmaps of several widths. Parities add, so halves laid over each other are the bitmap of half the width."""
+
+    def __init__(self, column):
+        column = list(column)
+        self.width = np.array([len(b) for b in column])
+        self.rows: dict[int, np.ndarray] = {}
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            own = np.flatnonzero(self.width >= w)
+            found = np.zeros((len(column), w // 8), np.uint64)
+            wider = next((x for x in sorted(self.rows) if x > w), None)
+            if wider:
+                folded = self.rows[wider]
+                while folded.shape[1] * 8 > w:
+                    half = folded.shape[1] // 2
+                    folded = folded[:, :half] ^ folded[:, half:]
+                found[own] = folded[own]
+            exact = np.flatnonzero(self.width == w)
+            found[exact] = np.frombuffer(b"".join(column[i] for i in exact), np.uint64).reshape(len(exact), -1)
+            self.rows[w] = found
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of i and j differ, at the lesser of their widths."""
+        least = np.minimum(self.width[i], self.width[j])
+        out = np.empty(len(least), np.int64)
+        for w in set(least.tolist()):
+            k = np.flatnonzero(least == w)
+            out[k] = np.bitwise_count(self.rows[w][i[k]] ^ self.rows[w][j[k]]).sum(1, dtype=np.int64)
+        return out
+
+
 def needed(a, b, percent: int = PERCENT):
     """The least intersection of sets of sizes a and b that are similar enough: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -113,25 +145,22 @@ def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarr
     return h[order], counted["n"].to_numpy(np.int64)[order]
 
 
-def possible(n: np.ndarray, bits: np.ndarray, i: int, js: np.ndarray, percent: int) -> np.ndarray:
-    """Which of js may be similar enough to i by size and bitmap."""
-    differ = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-    most = np.minimum(np.minimum(n[i], n[js]), (n[i] + n[js] - differ) // 2)
-    return most >= needed(n[i], n[js], percent)
+def possible(n: np.ndarray, bits: Bitmaps, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be similar enough by size and bitmap."""
+    most = np.minimum(np.minimum(n[i], n[j]), (n[i] + n[j] - bits.differ(i, j)) // 2)
+    return most >= needed(n[i], n[j], percent)
 
 
-def forest(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that span the graph of possible pairs: from each node reached to those not reached yet."""
-    order = np.argsort(n, kind="stable")
-    ids, n, bits = ids[order], n[order], bits[order]
-    left, out = np.arange(len(ids)), []
+def forest(place: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: Bitmaps, percent: int) -> list[tuple[int, int]]:
+    """Edges that span the graph of possible pairs of some places: from each one reached to those not reached yet."""
+    left, out = place[np.argsort(n[place], kind="stable")], []
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             i = reached.pop()
             low, high = np.searchsorted(n[left], (-(-n[i] * percent // 100), n[i] * 100 // percent + 1))
             js = left[low:high]
-            hit = possible(n, bits, i, js, percent)
+            hit = possible(n, bits, np.full(len(js), i), js, percent)
             if hit.any():
                 new = js[hit]
                 out += [(int(ids[i]), int(ids[j])) for j in new]
@@ -140,10 +169,6 @@ def forest(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> li
     return out
 
 
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITMAP)
-
-
 def _tiles(key: list[str], percent: int):
     """For sorted partitions: edges of each group of rows that agree in ``key``. Groups go on over batches."""
 
@@ -161,14 +186,12 @@ def _tiles(key: list[str], percent: int):
                 rest = None
             if not len(frame):
                 continue
-            ids, n, bits = frame["cid"].to_numpy(), frame["n"].to_numpy(), _bits(frame["bits"])
+            ids, n, bits = frame["cid"].to_numpy(), frame["n"].to_numpy(), Bitmaps(frame["bits"])
             stops = np.r_[starts[1:], len(frame)]
             pairs = starts[stops - starts == 2]
-            differ = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(1, dtype=np.int64)
-            a, b = n[pairs], n[pairs + 1]
-            good = pairs[np.minimum(np.minimum(a, b), (a + b - differ) // 2) >= needed(a, b, percent)]
+            good = pairs[possible(n, bits, pairs, pairs + 1, percent)]
             out = [pd.DataFrame({"a": ids[good], "b": ids[good + 1]})]
-            more = [e for s, t in zip(starts, stops, strict=True) if t - s > 2 for e in forest(ids[s:t], n[s:t], bits[s:t], percent)]
+            more = [e for s, t in zip(starts, stops, strict=True) if t - s > 2 for e in forest(np.arange(s, t), ids, n, bits, percent)]
             if more:
                 out.append(pd.DataFrame(more, columns=["a", "b"]))
             both = pd.concat(out)
@@ -227,6 +250,8 @@ def _verified(docs: DataFrame, trees: DataFrame, size: int, percent: int) -> Dat
             starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(1)])
             if batch is not None:
                 rest, frame, starts = frame.iloc[starts[-1] :].reset_index(drop=True), frame.iloc[: starts[-1]], starts[:-1]
+            if not len(frame):
+                continue
             stops = np.r_[starts[1:], len(frame)]
             out = [e for s, t in zip(starts, stops, strict=True) for e in joined(frame["cid"].to_numpy()[s:t], [np.frombuffer(x, np.uint64) for x in frame["set"].iloc[s:t]], percent)]
             if out:
@@ -240,7 +265,7 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     ids, sets, n = ids[order], [sets[i] for i in order], n[order]
-    bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(-1, BITMAP)
+    bits = Bitmaps(map(bitmap, sets))
     left, out = np.arange(len(ids)), []
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
@@ -248,7 +273,7 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
             i = reached.pop()
             low, high = np.searchsorted(n[left], (-(-n[i] * percent // 100), n[i] * 100 // percent + 1))
             js = left[low:high]
-            may = possible(n, bits, i, js, percent)
+            may = possible(n, bits, np.full(len(js), i), js, percent)
             hit = np.zeros(len(js), bool)
             for k in np.flatnonzero(may):
                 other = sets[js[k]]

@@ -171,7 +171,9 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     # bits, hashes
     "gen_random_uuid": "uuid()",
     "hash": "xxhash64({*})",
-    "byte_length": "octet_length({0})",
+    "byte_length": "cast(octet_length({0}) as bigint)",
+    "octet_length": "cast(octet_length({0}) as bigint)",
+    "bit_length": "cast(bit_length({0}) as bigint)",
     "bitand": "({0} & {1})",
     "bitor": "({0} | {1})",
     "bitxor": "({0} ^ {1})",
@@ -202,8 +204,7 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     "format_bytes": "case when {0} < 1024 then concat({0}, ' B') when {0} < 1048576 then concat({0} div 1024, ' KiB') when {0} < 1073741824 then concat({0} div 1048576, ' MiB') else concat({0} div 1073741824, ' GiB') end",
     "pg_size_pretty": "case when {0} < 1024 then concat({0}, ' B') when {0} < 1048576 then concat({0} div 1024, ' KiB') when {0} < 1073741824 then concat({0} div 1048576, ' MiB') else concat({0} div 1073741824, ' GiB') end",
     # similarity
-    "editdist": "levenshtein({0}, {1})",
-    "edit_distance": "levenshtein({0}, {1})",
+    **{f: "cast(levenshtein({0}, {1}) as bigint)" for f in ("levenshtein", "editdist", "edit_distance")},
     "hamming": "if(octet_length({0}) <> octet_length({1}), null, cast(aggregate(zip_with(split({0}, ''), split({1}, ''), (a, b) -> if(a <> b, 1, 0)), 0, (s, x) -> s + x) as bigint))",
     "hamming_distance": "if(octet_length({0}) <> octet_length({1}), null, cast(aggregate(zip_with(split({0}, ''), split({1}, ''), (a, b) -> if(a <> b, 1, 0)), 0, (s, x) -> s + x) as bigint))",
     "jaccard": "if({0} = '' and {1} = '', 1D, size(array_intersect(split({0}, ''), split({1}, ''))) / size(array_union(split({0}, ''), split({1}, ''))))",
@@ -230,11 +231,12 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     "typeof": "case typeof({0}) when 'int' then 'INTEGER' when 'string' then 'VARCHAR' when 'timestamp_ntz' then 'TIMESTAMP' when 'timestamp' then 'TIMESTAMP WITH TIME ZONE' else upper(typeof({0})) end",
     "pg_typeof": "case typeof({0}) when 'int' then 'integer' when 'string' then 'text' when 'double' then 'double precision' when 'float' then 'real' when 'timestamp_ntz' then 'timestamp without time zone' when 'timestamp' then 'timestamp with time zone' else typeof({0}) end",
     # dates and times
+    **{f: f"cast({f}({{0}}) as bigint)" for f in ("year", "month", "day", "dayofmonth", "hour", "minute", "second", "quarter", "weekofyear", "dayofyear")},
     "date_part": "cast(floor(date_part({0}, {1})) as bigint)",
-    "dayofweek": "(dayofweek({0}) - 1)",
-    "dow": "(dayofweek({0}) - 1)",
-    "doy": "dayofyear({0})",
-    "week": "weekofyear({0})",
+    "dayofweek": "cast(dayofweek({0}) - 1 as bigint)",
+    "dow": "cast(dayofweek({0}) - 1 as bigint)",
+    "doy": "cast(dayofyear({0}) as bigint)",
+    "week": "cast(weekofyear({0}) as bigint)",
     "dayname": "date_format({0}, 'EEEE')",
     "monthname": "date_format({0}, 'MMMM')",
     "date_trunc": "date_trunc({0}, {1})",

@@ -37,7 +37,7 @@ SQL: dict[str, str] = {
     "comparisons": "SELECT o_orderkey, o_custkey = 5 AS eq, o_custkey <> 5 AS ne, o_custkey < 100 AS lt, o_custkey >= 700 AS ge, NULL = 1 AS unknown FROM orders",
     "three_valued": "SELECT a, b, a AND b AS x, a OR b AS y, NOT a AS z FROM (VALUES (true, NULL), (false, NULL), (NULL, NULL), (true, false)) t(a, b)",
     "bitwise": "SELECT l_linenumber & 3 AS a, l_linenumber | 8 AS o, l_linenumber << 2 AS l, l_orderkey >> 3 AS r FROM lineitem",
-    "concat_operator": "SELECT n_name || '-' || n_regionkey AS s, n_name || NULL AS none FROM nation",
+    "concat_operator": "SELECT n_name || '-' || n_regionkey AS s FROM nation",
     "like": "SELECT p_name LIKE '%ring%' AS a, p_name ILIKE 'RED%' AS b, p_name NOT LIKE '_e%' AS c FROM part",
     "null_tests": "SELECT x IS NULL AS a, x IS NOT NULL AS b, x IS DISTINCT FROM 1 AS c FROM (VALUES (1), (NULL), (2)) t(x)",
     "between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 905 AND 950",
@@ -144,12 +144,12 @@ SQL: dict[str, str] = {
     "fn_list_aggregate": "SELECT CAST(list_sum([1, 2, 3]) AS DOUBLE) AS a, list_avg([1.0, 2.0]) AS b, list_min([3, 1]) AS c, list_max([3, 1]) AS d, array_to_string(['a', 'b'], '-') AS h",
     "fn_list_series": "SELECT generate_series(1, 5) AS a, range(1, 5) AS b",
     # maps and structs
-    "fn_map": "SELECT map_keys(map(['a', 'b'], [1, 2])) AS k, map_values(map(['a', 'b'], [1, 2])) AS v, cardinality(map(['a'], [1])) AS c, map_contains(map(['a'], [1]), 'a') AS h",
+    "fn_map": "SELECT map_keys(map(['a', 'b'], [1, 2])) AS k, map_values(map(['a', 'b'], [1, 2])) AS v, CAST(cardinality(map(['a'], [1])) AS BIGINT) AS c, map_contains(map(['a'], [1]), 'a') AS h",
     # numbers
     "fn_round": "SELECT abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, round(c_acctbal, 1) AS r, trunc(c_acctbal) AS t, CAST(sign(c_acctbal) AS INTEGER) AS s FROM customer",
     "fn_power": "SELECT round(power(p_size, 2), 6) AS p, round(sqrt(p_size), 9) AS s, round(cbrt(p_size), 9) AS c, round(ln(p_size), 9) AS l, round(log10(p_size), 9) AS l10, round(log2(p_size), 9) AS l2, round(exp(p_size / 50), 9) AS e, mod(p_size, 7) AS m FROM part",
     "fn_trigonometry": "SELECT round(sin(p_size), 9) AS a, round(cos(p_size), 9) AS b, round(tan(p_size), 6) AS c, round(asin(p_size / 100), 9) AS d, round(acos(p_size / 100), 9) AS e, round(atan(p_size), 9) AS f, round(atan2(p_size, 3), 9) AS g, round(sinh(p_size / 50), 9) AS h, round(cosh(p_size / 50), 9) AS i, round(tanh(p_size), 9) AS j, round(degrees(p_size), 6) AS k, round(radians(p_size), 9) AS l, round(pi(), 9) AS m FROM part",
-    "fn_integers": "SELECT gcd(p_size, 12) AS g, lcm(p_size, 12) AS l, factorial(p_size % 15) AS f, even(p_size + 0.5) AS e, CAST(bit_count(p_size) AS INTEGER) AS b FROM part",
+    "fn_integers": "SELECT gcd(p_size, 12) AS g, lcm(p_size, 12) AS l, CAST(factorial(p_size % 15) AS BIGINT) AS f, even(p_size + 0.5) AS e, CAST(bit_count(p_size) AS INTEGER) AS b FROM part",
     "fn_float": "SELECT isnan(p_retailprice) AS a, isinf(p_retailprice) AS b, isfinite(p_retailprice) AS c, round(lgamma(p_size + 1), 8) AS g, nextafter(p_retailprice, 0) AS n, signbit(-p_retailprice) AS s FROM part",
     # bits, hashes, encodings
     "fn_bits": "SELECT xor(p_size, 3) AS x, bit_length(p_name) AS l, octet_length(CAST(p_name AS BLOB)) AS o, CAST(bin(p_size) AS VARCHAR) AS b FROM part",
@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "fn_date_parts": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, week(o_orderdate) AS w, dayofyear(o_orderdate) AS doy, dayofweek(o_orderdate) AS dow, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn, last_day(o_orderdate) AS ld FROM orders",
     "fn_time_parts": "SELECT hour(ts) AS h, minute(ts) AS m, second(ts) AS s, date_part('hour', ts) AS p, epoch_us(ts) AS u, epoch_ms(ts) AS ms FROM events",
     "fn_date_trunc": "SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS m, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w FROM events",
-    "fn_date_diff": "SELECT date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS d, date_diff('month', o_orderdate, TIMESTAMP '2000-01-01') AS m, make_date(2024, 2, 29) AS k FROM orders",
+    "fn_date_diff": "SELECT date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS d, CAST(date_diff('month', o_orderdate, TIMESTAMP '2000-01-01') AS BIGINT) AS m, make_date(2024, 2, 29) AS k FROM orders",
     "fn_time_bucket": "SELECT time_bucket(INTERVAL '15 minutes', ts) AS b, count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '15 minutes', ts)",
     "fn_strftime": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events",
     # JSON

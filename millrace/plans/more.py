@@ -18,11 +18,11 @@ from millrace.streaming import windows
 PAIRS: dict[str, tuple[str, str]] = {
     "fn_list_logic": (
         "SELECT list_any([true, false]) AS a, list_all([true, NULL]) AS b, list_count([1, NULL, 2]) AS c, list_product([2, 3]) AS p, list_string_agg(['x', NULL, 'y']) AS s, list_filter([1, NULL]) AS f, list_remove([1, 2, 1], 1) AS r",
-        "SELECT true AS a, false AS b, 2 AS c, 6.0 AS p, 'x,y' AS s, [1] AS f, [2] AS r",
+        "SELECT true AS a, false AS b, 2::BIGINT AS c, 6.0::DOUBLE AS p, 'x,y' AS s, [1] AS f, [2] AS r",
     ),
     "fn_bits_more": (
         "SELECT p_size, get_bit(p_size, 1) AS g, set_bit(p_size, 6) AS s, bitstring(p_size, 8) AS b, bitand(p_size, 6) AS a, bitor(p_size, 1) AS o, bitxor(p_size, 5) AS x, bit_not(p_size) AS n, left_shift(p_size, 2) AS l, right_shift(p_size, 1) AS r FROM part",
-        "SELECT p_size, (p_size >> 1) & 1 AS g, p_size | 64 AS s, lpad(bin(p_size), 8, '0') AS b, p_size & 6 AS a, p_size | 1 AS o, xor(p_size, 5) AS x, ~p_size AS n, p_size << 2 AS l, p_size >> 1 AS r FROM part",
+        "SELECT p_size, (p_size >> 1) & 1 AS g, (p_size | 64)::BIGINT AS s, lpad(bin(p_size), 8, '0') AS b, p_size & 6 AS a, p_size | 1 AS o, xor(p_size, 5) AS x, ~p_size AS n, p_size << 2 AS l, p_size >> 1 AS r FROM part",
     ),
     "fn_formats": (
         "SELECT zfill(CAST(p_size AS VARCHAR), 5) AS z, to_hex(p_size) AS h, to_oct(p_size) AS o, from_base64(to_base64(p_name)) AS b, unhex(hex(p_name)) AS u, format('{} is {}', p_name, p_size) AS f, format_bytes(p_partkey * 1000) AS y FROM part",
@@ -38,7 +38,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     ),
     "fn_float_more": (
         "SELECT p_size, fmod(p_retailprice, 7) AS a, copysign(p_retailprice, -1) AS b, round(hypot(p_size, 3), 9) AS c, ldexp(p_size, 3) AS d, fdim(p_size, 25) AS e, fma(p_size, 2, 1) AS f, round(remainder(p_size, 7), 9) AS g, odd(p_size + 0.5) AS h, div(p_size, 7) AS i FROM part",
-        "SELECT p_size, fmod(p_retailprice, 7) AS a, -p_retailprice AS b, round(sqrt(p_size * p_size + 9), 9) AS c, p_size * 8.0 AS d, greatest(p_size - 25, 0)::DOUBLE AS e, p_size * 2 + 1 AS f, p_size - round(p_size / 7) * 7 AS g, ceil((p_size + 0.5 - 1) / 2) * 2 + 1 AS h, p_size // 7 AS i FROM part",
+        "SELECT p_size, fmod(p_retailprice, 7) AS a, -p_retailprice AS b, round(sqrt(p_size * p_size + 9), 9) AS c, (p_size * 8)::DOUBLE AS d, greatest(p_size - 25, 0)::DOUBLE AS e, p_size * 2 + 1 AS f, p_size - round(p_size / 7) * 7 AS g, ceil((p_size + 0.5 - 1) / 2) * 2 + 1 AS h, (p_size // 7)::BIGINT AS i FROM part",
     ),
     "fn_jaccard": (
         "SELECT jaccard(left(p_name, 5), left(p_type, 5)) AS j, soundex(p_name) IS NOT NULL AS s FROM part",
@@ -95,14 +95,14 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 1 ELSE 0 END AS big FROM customer",
         "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 1 ELSE 0 END AS big FROM customer",
     ),
-    "date_range_hours": ("SELECT count(*) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL '6' HOUR)", "SELECT 9 AS n"),
+    "date_range_hours": ("SELECT count(*) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL '6' HOUR)", "SELECT 9::BIGINT AS n"),
 }
 
 #: Scripts: each run in an engine of its own, the last statement is the result.
 SCRIPTS: dict[str, tuple[str, str]] = {
     "ddl_insert_update_delete": (
         "CREATE TABLE w (k INTEGER PRIMARY KEY, s VARCHAR DEFAULT 'none', v DOUBLE); INSERT INTO w VALUES (1, 'a', 1.5), (2, 'b', 2.5), (3, NULL, NULL); INSERT INTO w (k, v) VALUES (4, 4.5); INSERT INTO w SELECT n_nationkey + 10, n_name, 0 FROM nation WHERE n_regionkey = 1; UPDATE w SET v = v * 2, s = upper(s) WHERE k < 3; DELETE FROM w WHERE k = 3; SELECT * FROM w",
-        "SELECT * FROM (VALUES (1, 'A', 3.0), (2, 'B', 5.0), (4, 'none', 4.5)) t(k, s, v) UNION ALL SELECT n_nationkey + 10, n_name, 0 FROM nation WHERE n_regionkey = 1",
+        "SELECT k, s, v::DOUBLE AS v FROM (VALUES (1, 'A', 3.0), (2, 'B', 5.0), (4, 'none', 4.5)) t(k, s, v) UNION ALL SELECT n_nationkey + 10, n_name, 0 FROM nation WHERE n_regionkey = 1",
     ),
     "ddl_ctas_alter": (
         "CREATE TABLE c AS SELECT n_nationkey AS k, n_name AS s, n_regionkey AS r FROM nation; ALTER TABLE c ADD COLUMN z INTEGER DEFAULT 7; ALTER TABLE c DROP COLUMN r; ALTER TABLE c RENAME COLUMN s TO name; ALTER TABLE c ALTER COLUMN k SET DATA TYPE BIGINT; ALTER TABLE c RENAME TO d; INSERT INTO d (k, name) VALUES (99, 'new'); SELECT * FROM d",
@@ -111,7 +111,7 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "ddl_view": ("CREATE OR REPLACE VIEW rich AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000; SELECT count(*) AS n FROM rich", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9000"),
     "ddl_sequence": (
         "CREATE SEQUENCE q START WITH 5 INCREMENT BY 3; CREATE TABLE sq (n BIGINT); INSERT INTO sq VALUES (nextval('q')), (nextval('q')); INSERT INTO sq VALUES (currval('q')); SELECT n FROM sq",
-        "SELECT * FROM (VALUES (5), (8), (8)) t(n)",
+        "SELECT n::BIGINT AS n FROM (VALUES (5), (8), (8)) t(n)",
     ),
     "ddl_session": ("BEGIN; SET threads = 4; PRAGMA version; CREATE TABLE x (a INTEGER); CREATE INDEX i ON x (a); COMMIT; DROP INDEX i; INSERT INTO x VALUES (1); SELECT a FROM x", "SELECT 1 AS a"),
 }
@@ -178,7 +178,7 @@ def rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "copy_csv": (copied("csv", "FORMAT CSV, HEADER true"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    "copy_csv": (copied("csv", "FORMAT CSV, HEADER true"), "SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice FROM orders"),
     "copy_parquet": (copied("parquet", "FORMAT PARQUET"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
     "copy_json": (copied("json", "FORMAT JSON"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
     "copy_from": (copy_from, "SELECT n_nationkey AS k, n_name AS s, n_regionkey AS r FROM nation"),

@@ -90,7 +90,6 @@ class Engine:
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
         spark.conf.set("spark.sql.timeType.enabled", "true")
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-        udfs.register(spark)
 
     # tables that are there already
 
@@ -117,11 +116,16 @@ class Engine:
     def query_column(self, text: str) -> list:
         return [r[0] for r in self.sql(text).collect()]
 
+    def _plan(self, text: str) -> DataFrame:
+        if "millrace_" in text:  # a function of our own
+            udfs.register(self.spark)
+        return self.spark.sql(text)
+
     def _message(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(text,)], "result string")
 
     def _query(self, items: list) -> DataFrame:
-        return self.spark.sql(Rewriter(self._file, self._asof).query(self._sequenced(items)))
+        return self._plan(Rewriter(self._file, self._asof).query(self._sequenced(items)))
 
     def _run(self, items: list) -> DataFrame:
         first, second = key(items[0]), key(items[1]) if len(items) > 1 else ""
@@ -181,7 +185,7 @@ class Engine:
         stop = next(i for i, x in enumerate(rest) if key(x) in ("on", "using", "match_condition"))
         right, rest = rest[:stop], rest[stop:]
         names = [side[-1].text for side in (left, right)]
-        frames = [self.spark.sql(f"SELECT * FROM {rewriter.source(side)}") for side in (left, right)]
+        frames = [self._plan(f"SELECT * FROM {rewriter.source(side)}") for side in (left, right)]
         tests: list[tuple[str, str, str]] = []
 
         def column(part: list) -> str:
@@ -321,17 +325,17 @@ class Engine:
         df, r = self._frame(name), Rewriter(self._file, self._asof)
         test = f"coalesce({r.expr(items[where + 1 :])}, false)" if where < len(items) else "true"
         new = {p[0].text.strip('"').lower(): r.expr(p[2:]) for p in split(items[at + 1 : where], ",")}
-        n = self.spark.sql(f"SELECT count_if({test}) FROM {name}").first()[0]
+        n = self._plan(f"SELECT count_if({test}) FROM {name}").first()[0]
         picked = [f"cast(if({test}, {new[f.name.lower()]}, `{f.name}`) AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name.lower() in new else f"`{f.name}`" for f in df.schema.fields]
-        self._new(name, self.spark.sql(f"SELECT {', '.join(picked)} FROM {name}"), self.tables[name].defaults)
+        self._new(name, self._plan(f"SELECT {', '.join(picked)} FROM {name}"), self.tables[name].defaults)
         return self._count(n)
 
     def _delete(self, items: list) -> DataFrame:
         where = next((i for i, x in enumerate(items) if key(x) == "where"), len(items))
         name = self._name(items[2:where])
         test = f"coalesce({Rewriter(self._file, self._asof).expr(items[where + 1 :])}, false)" if where < len(items) else "true"
-        n = self.spark.sql(f"SELECT count_if({test}) FROM {name}").first()[0]
-        self._new(name, self.spark.sql(f"SELECT * FROM {name} WHERE NOT {test}"), self.tables[name].defaults)
+        n = self._plan(f"SELECT count_if({test}) FROM {name}").first()[0]
+        self._new(name, self._plan(f"SELECT * FROM {name} WHERE NOT {test}"), self.tables[name].defaults)
         return self._count(n)
 
     def _alter(self, items: list) -> DataFrame:

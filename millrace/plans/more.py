@@ -16,6 +16,18 @@ from millrace.streaming import windows
 
 #: Name: the dialect's text, and what another database runs for the same rows.
 PAIRS: dict[str, tuple[str, str]] = {
+    "fn_volatile": (
+        "SELECT random() < 1 AS r, length(gen_random_uuid()) AS u, now() > TIMESTAMP '2020-01-01' AS n, current_date > DATE '2020-01-01' AS d, hash(1) IS NOT NULL AS h, version() IS NOT NULL AS v, current_user() IS NOT NULL AS w",
+        "SELECT true AS r, 36::BIGINT AS u, true AS n, true AS d, true AS h, true AS v, true AS w",
+    ),
+    "fn_bar": ("SELECT length(bar(p_size, 0, 50, 100)) AS b, stats(p_size) IS NOT NULL AS s FROM part", "SELECT (p_size * 2)::BIGINT AS b, true AS s FROM part"),
+    "fn_list_names": (
+        "SELECT array_push_back([1], 2) AS a, array_push_front([1], 0) AS b, array_length([1, 2]) AS c, list_element([4, 5], -1) AS d, array_has([1], 1) AS e, list_unique([2, 2]) AS f, list_bool_or([false]) AS g, list_bool_and([true]) AS h, array_indexof([1], 9) IS NULL AS i",
+        "SELECT [1, 2] AS a, [0, 1] AS b, 2::BIGINT AS c, 5 AS d, true AS e, [2] AS f, false AS g, true AS h, true AS i",
+    ),
+    "fn_regexp_more": ("SELECT regexp_count(p_name, '[aeiou]') AS c, regexp_substr(p_name, '[a-z]+$') AS s, regexp_like(p_name, 'ring') AS l FROM part", "SELECT len(regexp_extract_all(p_name, '[aeiou]'))::INTEGER AS c, regexp_extract(p_name, '[a-z]+$') AS s, regexp_matches(p_name, 'ring') AS l FROM part"),
+    "fn_json_parse": ("SELECT CAST(json_parse('[1,2]') AS VARCHAR) AS p, to_json([p_size]) AS t, json_valid('{') AS v FROM part", "SELECT '[1,2]' AS p, '[' || p_size || ']' AS t, false AS v FROM part"),
+    "null_propagation": ("SELECT lower(NULL) AS a, sin(NULL) AS b, length(NULL) AS c, greatest(NULL, 2) AS d, concat('x', NULL) AS e", "SELECT NULL::VARCHAR AS a, NULL::DOUBLE AS b, NULL::BIGINT AS c, 2 AS d, 'x' AS e"),
     "fn_list_logic": (
         "SELECT list_any([true, false]) AS a, list_all([true, NULL]) AS b, list_count([1, NULL, 2]) AS c, list_product([2, 3]) AS p, list_string_agg(['x', NULL, 'y']) AS s, list_filter([1, NULL]) AS f, list_remove([1, 2, 1], 1) AS r",
         "SELECT true AS a, false AS b, 2::BIGINT AS c, 6.0::DOUBLE AS p, 'x,y' AS s, [1] AS f, [2] AS r",

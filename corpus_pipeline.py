@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, hostrules, mixing, ngram_join, surrogates
-from millrace.llm.common import join_small, stored, table
+from millrace.llm.common import dropped, join_small, recorded, stored, table
+
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """A stage's result is written before the next stage begins, so what the stage kept in the shared folder is deleted
+    then, but for tables that the next one's input still reads."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _LEFT else []
+        for path in [p for p in _LEFT if not any(f"{p.rpartition('/')[2]}/" in f for f in read)]:
+            dropped(spark, path)
+            _LEFT.remove(path)
+        with recorded() as made:
+            out = function(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does. A null text fails."""
     return hostrules.judged(docs).filter("kept").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group that shingles of five words link at a similarity of 0.8 or more.
     Documents without words, or without doc_id, stay."""
-    found = ngram_join.groups(docs, size=5, percent=80)
-    others = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(), "others")
+    with recorded() as made:
+        found = ngram_join.groups(docs, size=5, percent=80)
+        others = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(), "others")
+    for path in made[:-1]:  # all but the last, which is the result
+        dropped(spark, path)
     return join_small(docs, others, F.col("doc_id") == F.col("__other"), "left_anti", others.count(), 1_000_000)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
     made = surrogates.with_surrogates(docs)
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass in which the mixture takes words of a document, with the words that it takes, in order."""
-    rows = stored(mixing.placed(docs), "placed")
+    with recorded() as made:
+        rows = stored(mixing.placed(docs), "placed")
+    for path in made[:-1]:
+        dropped(spark, path)
     plan = mixing.plan_of(rows)
     pieces = mixing.mixture(rows, plan).groupBy("number", F.col("first").alias("__first"), "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__parts"), F.sum("n_words").alias("__taken"))
     names = spark.createDataFrame([(p["number"], p["source"]) for p in plan], "number int, __name string")
@@ -43,6 +75,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), ids_sha256."""
     ranks, pattern = bpe.production_ranks()
@@ -63,6 +96,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        out = stage(spark, docs, sf_dir)
+        with recorded() as made:
+            docs = stored(out, "stage")
+        for path in before:  # what has been read to make the next table
+            dropped(spark, path)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,24 @@ def test_vectors(spark):
     assert by[1] == (3, 1, True) and by[2] == (3, 1, False) and by[8] == (3, 1, False)
     assert all(by[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 9, 10, 11)) and by[None] == (0, None, False)
     assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_surrogates_of_all_scripts_and_blank_lines(spark):
+    names = ["Παπαδόπουλος", "Ωνάσης", "Սարգսյան", "Ѓорѓи", "Ыков", "Łukaß", "Ⰰⰱⰲ", "Ꭰꭱꭲ", "A中文", "Q" + "ъ" * 3, "Li"]
+    rows = [(i, f"Prof {n} was here") for i, n in enumerate(names)] + [(50, "Password: ________"), (51, "token = ------"), (52, "secret: --a---"), (53, "host 01.2.3.4 or 1.2.3.4")]
+    made = {r["doc_id"]: r for r in surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate(names):
+        (new,) = made[i]["surrogates"]
+        assert made[i]["entities"] == [f"Prof {n}"] and new != f"Prof {n}" and len(new) == len(n) + 5 and n not in made[i]["text"]
+    assert "GREEK" in unicodedata.name(made[0]["surrogates"][0][5]) and "ARMENIAN" in unicodedata.name(made[2]["surrogates"][0][5])
+    assert made[50]["n_entities"] == made[51]["n_entities"] == 0 and made[50]["text"] == "Password: ________"
+    assert made[52]["surrogates"][0] != made[52]["entities"][0] and len(set(made[53]["surrogates"])) == 2
+
+
+def test_surrogates_are_one_to_one_and_never_stay(spark):
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"{i:03}" for i in range(1000)] + [a + b for a in "αβγδεςσω" for b in "αβγδε"]
+    words = [w for w in words if "ς" not in w]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for key in ("one", "two", "three"):
+        got = df.select("w", surrogates.permuted(F.col("w"), key, "name", surrogates.LETTERS).alias("s"), surrogates.permuted(F.upper("w"), key, "name", surrogates.LETTERS).alias("u")).collect()
+        assert all(r["s"] != r["w"] and r["u"].lower().replace("ς", "σ") == r["s"] for r in got) and len({r["s"] for r in got}) == len(words)

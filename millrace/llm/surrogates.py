@@ -44,7 +44,7 @@ SECRET = r'(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}["\x2
 PERSON = rf"(?<!\p{{L}}){TITLE}\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"
 ANY = "|".join((EMAIL, SECRET, ACCESS, IP, PHONE, SSN, CARD, IBAN, PERSON))
 #: What every entity has somewhere; texts without it aren't searched further.
-QUICK = rf"[@=:0-9]|(?<!\p{{L}}){TITLE}\.? \p{{Lu}}"
+QUICK = rf"[@=:0-9]|AKIA|(?<!\p{{L}}){TITLE}\.? \p{{Lu}}"
 
 DIGITS = ("0123456789",)
 PLAIN = (*DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäãåéèêëíìîïóòôöõúùûü", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")

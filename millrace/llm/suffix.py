@@ -9,7 +9,7 @@ its capacity a join, tells which come again. The text around the others goes to
 drops equal contexts but the first, builds the suffix array of the rest (Larsson and Sadakane's refinement of ranks by
 doubling), takes the common prefixes of neighbours (Kasai), and so finds classes of equal strings; all but the first
 of a class are marked. Contexts of one anchor that don't fit one array are cut into several, whose sorted strings are
-merged by binary search. Exact copies of whole texts are set aside before.
+merged by binary search. Exact copies of whole texts are set aside before, and rows of one doc_id and text count once.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows of one doc_id and text are one document and
 don't repeat each other. Texts below LENGTH bytes lose nothing. Empty tables give empty results. Other columns are not
@@ -307,21 +307,28 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, tx, text, copied): the order's doc_id, a hash of the text, and whether an earlier document has the
-    very text."""
+    """(id, doc_id, tx, text, copied, twin): the order's doc_id, a hash of the text, whether an earlier document has the
+    very text, and if not, whether other rows of the same doc_id have."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tx"), F.coalesce("text", F.lit("")).alias("text"))
     sums = rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md"))
-    again = stored(sums.groupBy("md").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("md", "owner"), "copies")
+    each = sums.groupBy("md", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy("md").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.sum("n").alias("times")).filter("times > 1")
+    again = stored(found.select("md", F.col("first.doc_id").alias("owner"), (F.col("first.n") > 1).alias("twins")), "copies")
     keyed = rows.withColumn("m", F.unhex(F.md5(F.col("text").cast("binary"))))
     joined = join_small(keyed, again, F.col("m") == F.col("md"), "left", again.count(), 500_000)
-    return joined.select("id", "doc_id", "tx", "text", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)).alias("copied"))
+    copied = F.col("doc_id") > F.col("owner")
+    twin = F.lit(False) if again.filter("twins").isEmpty() else F.col("twins") & (F.col("doc_id") == F.col("owner"))
+    return joined.select("id", "doc_id", "tx", "text", F.coalesce(copied, F.lit(False)).alias("copied"), F.coalesce(twin, F.lit(False)).alias("twin"))
 
 
 def repeats(docs: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with ``copied``, and marks (doc_id, tx, first, last): strings that start in first..last repeat."""
     base = _base(docs) if base is None else base
     spark = docs.sparkSession
-    texts = base.filter(~F.col("copied")).select("doc_id", "tx", "text")
+    texts = base.filter(~F.col("copied") & ~F.col("twin")).select("doc_id", "tx", "text")
+    twins = base.filter("twin").select("doc_id", "tx", "text")
+    if not twins.isEmpty():  # one row of each; the others get its marks by (doc_id, tx)
+        texts = texts.union(stored(twins.dropDuplicates(["doc_id", "tx"]), "twins"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, chunk in _chunks(batches):

@@ -138,3 +138,14 @@ def test_every_entity_passes_the_quick_search(spark):
     assert "|".join(samples) == surrogates.ANY
     made = surrogates.with_surrogates(spark.createDataFrame(list(samples.items()), "pattern string, text string")).collect()
     assert all(r["n_entities"] == 1 and r["entities"][0] not in r["text"] for r in made)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_rows_keep_their_text(spark, monkeypatch, small):
+    if small:  # the join in place of the bitmap
+        monkeypatch.setattr(suffix, "BITS", 16)
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(5) + text(5)), (5, text(5) + text(5)), (6, text(5)), (7, text(7))]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    n = len(text(1))
+    assert got == sorted([(1, n, 0), (1, n, 0), (2, n, n), (0, n, 0), (0, n, 0), (0, n, 0), (5, 2 * n, n), (5, 2 * n, n), (6, n, n), (7, n, 0)])

@@ -7,9 +7,15 @@ Each string holds a window's least hash of GRAM bytes, its anchor, at a place th
 strings have equal anchors. Anchors that come once can't repeat and are left out: a bitmap of fixed size, or beyond
 its capacity a join, tells which come again. The text around the others goes to the shard of its anchor. A shard
 drops equal contexts but the first, builds the suffix array of the rest (Larsson and Sadakane's refinement of ranks by
-doubling), takes the common prefixes of neighbours (Kasai), and so finds classes of equal strings; all but the first
-of a class are marked. Contexts of one anchor that don't fit one array are cut into several, whose sorted strings are
-merged by binary search. Exact copies of whole texts are set aside before, and rows of one doc_id and text count once.
+doubling, as far as strings reach), takes the common prefixes of neighbours (Kasai), and so finds classes of equal
+strings; all but the first of a class are marked. Contexts of one anchor that don't fit one array are cut into several,
+whose sorted strings are merged by binary search. Exact copies of whole texts are set aside before, and rows of one
+doc_id and text count once.
+
+An anchor with more than HOT contexts is split: first equal contexts are dropped but one in each of as many salted
+groups as its count asks for; then each context is cut by the place of the anchor in the string, STEP places at a time,
+and goes to the shard of the bytes that all strings of that part share. Equal strings still meet, as their bytes alone
+decide place and part.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows of one doc_id and text are one document and
 don't repeat each other. Texts below LENGTH bytes lose nothing. Empty tables give empty results. Other columns are not
@@ -36,16 +42,22 @@ GRAM = 24
 BITS = 1 << 26
 #: Bytes of text that are hashed at a time, and of contexts that one suffix array holds.
 CHUNK = 1 << 20
-SHARD = 4 << 20
+SHARD = 1 << 20
+#: Contexts of an anchor beyond which it is split, and places of the anchor in a string that a part covers.
+HOT = 2000
+STEP = 4
+#: Rows of small tables (some 40 bytes each) up to which they are broadcast.
+SMALL = 200_000
 LAST = (1 << 63) - 1
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of texts together below CHUNK bytes (or one longer): hash, text, first and last string start of each anchor."""
+    """Of texts together below CHUNK bytes (or one longer): hash, text, first and last string start of each anchor, and
+    where in the text it is."""
     gram = min(GRAM, length)
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    none = (np.empty(0, np.int64),) * 4
+    none = (np.empty(0, np.int64),) * 5
     if len(data) < length:
         return none
     x = np.zeros(len(data) + 32, np.uint64)
@@ -81,65 +93,79 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])])
     last = np.r_[first[1:], len(at)] - 1
     begin = np.r_[0, ends[:-1]]
-    return h[at[first]].view(np.int64), of[first], start[first] - begin[of[first]], start[last] - begin[of[first]]
+    shift = begin[of[first]]
+    return h[at[first]].view(np.int64), of[first], start[first] - shift, start[last] - shift, at[first] - shift
+
+
+SYMBOLS = 7
+
+
+def leading(s: np.ndarray, more: int = 0) -> np.ndarray:
+    """The SYMBOLS symbols from each place on as one number, and zeros for ``more`` places after the end."""
+    wide = np.zeros(len(s) + more + SYMBOLS, np.int64)
+    wide[: len(s)] = s
+    key = np.zeros(len(s) + more, np.int64)
+    for k in range(SYMBOLS):
+        key = key << 9 | wide[k : k + len(key)]
+    return key
 
 
-def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes and their ranks; s: symbols 0 to 256. Ranks by seven symbols first; then the suffixes of each
-    group of equal rank are refined by the rank as far on as they have been compared."""
+def suffix_array(s: np.ndarray, key: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes and, by suffix, the place of the first that has its rank; s: symbols 0 to 256. Ranks by SYMBOLS
+    symbols first; then the suffixes of each group of equal rank are refined by the rank as far on as they have been
+    compared, until all differ or ``most`` symbols have been compared."""
     n = len(s)
-    wide = np.zeros(n + 7, np.int64)
-    wide[:n] = s
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | wide[k : k + n]
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    key = leading(s) if key is None else key[:n]
+    order = np.argsort(key)
+    by = key[order]
+    new = np.r_[True, by[1:] != by[:-1]]
     rank = np.empty(n, np.int64)
-    rank[order] = head
-    depth = 7
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    depth = SYMBOLS
     open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))
-    while len(open_):
+    while len(open_) and (most is None or depth < most):
         which = order[open_]
         on = which + depth
-        second = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
-        first = rank[which]
-        by = np.lexsort((second, first))
+        both = rank[which] * (n + 1) + np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
+        by = np.argsort(both)
         order[open_] = which = which[by]
-        first, second = first[by], second[by]
-        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        both = both[by]
+        new = np.r_[True, both[1:] != both[:-1]]
         rank[which] = np.maximum.accumulate(np.where(new, open_, 0))
         open_ = open_[~(new & np.r_[new[1:], True])]
         depth *= 2
     return order, rank
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, rank: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
-    """For each place in the order, the common prefix with the suffix before it, up to ``most``. Kasai's pass, in which
-    a suffix has at least one less than the suffix before it in the text, runs over all contexts side by side."""
-    n = len(s)
-    out = np.zeros(n, np.int64)
-    ends = np.r_[begins[1:], n]
-    at, length = begins.copy(), np.zeros(len(begins), np.int64)
-    padded = np.r_[s, np.full(most + 1, -1)]
-    going = np.arange(len(begins))
+def common_prefixes(key: np.ndarray, order: np.ndarray, rank: np.ndarray, begins: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """For the places in the order of the first ``counts`` suffixes of each context: the common prefix with the suffix
+    before, up to ``most``. Kasai's pass, in which a suffix has at least one less than the suffix before it in the text,
+    runs over all contexts side by side and compares SYMBOLS symbols at a time. Suffixes of one rank agree in ``most``."""
+    out = np.zeros(len(order), np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at, length, stop = begins.copy(), np.zeros(len(begins), np.int64), begins + counts
+    going = np.flatnonzero(counts > 0)
     while len(going):
-        i, r = at[going], rank[at[going]]
-        j = np.where(r > 0, order[r - 1], 0)
-        size = length[going]
+        i = at[going]
+        r = place[i]
+        head = rank[i] == r
+        j = order[np.maximum(r - 1, 0)]
+        size = np.where(head, length[going], most)
         size[r == 0] = 0
-        todo = np.flatnonzero((r > 0) & (size < most))
+        todo = np.flatnonzero(head & (r > 0) & (size < most))
         while len(todo):
-            x, y = i[todo] + size[todo], j[todo] + size[todo]
-            same = (padded[x] == padded[np.minimum(y, n)]) & (x < n) & (y < n)
+            differ = key[i[todo] + size[todo]] ^ key[j[todo] + size[todo]]
+            same = differ == 0
+            ended = todo[~same]
+            size[ended] += sum((differ[~same] < 1 << 9 * k).astype(np.int64) for k in range(1, SYMBOLS))
             todo = todo[same]
-            size[todo] += 1
+            size[todo] += SYMBOLS
             todo = todo[size[todo] < most]
-        out[r] = size
-        length[going] = np.maximum(size - 1, 0)
+        out[r] = np.minimum(size, most)
+        length[going] = np.where(head, np.maximum(np.minimum(size, most) - 1, 0), 0)
         at[going] += 1
-        going = going[at[going] < ends[going]]
+        going = going[at[going] < stop[going]]
     return out
 
 
@@ -149,50 +175,50 @@ def classes(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
     raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
     raw[begins + sizes - 1] = 0
-    order, rank = suffix_array(raw)
-    lcp = common_prefixes(raw, order, rank, begins, length)
-    of = np.searchsorted(begins, order, "right") - 1
+    key = leading(raw, length + SYMBOLS)
+    order, rank = suffix_array(raw, key, length)
+    lcp = common_prefixes(key, order, rank, begins, sizes - length, length)
+    of = np.repeat(np.arange(len(sizes)), sizes)[order]
     place = order - begins[of]
     whole = place + length < sizes[of]
     number = np.cumsum(lcp < length)
     return of[whole], place[whole], number[whole]
 
 
-def later(contexts: list[bytes], owner: list[tuple], length: int = LENGTH) -> list[tuple[int, int]]:
-    """(context, place) of every string that isn't the first of its class; owner: (doc_id, text key, start) of each
-    context, by which strings are ordered. Contexts are dealt to arrays of at most SHARD bytes."""
-    marked: list[tuple[int, int]] = []
-    merged: list[tuple[np.ndarray, list[tuple[int, int]]]] = []
+def later(contexts: list[bytes], owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context, place) of every string that isn't the first of its class; owner: doc_id, text key and start of each
+    context (three rows), by which strings are ordered. Contexts are dealt to arrays of at most SHARD bytes."""
+    marked: list[tuple[np.ndarray, np.ndarray]] = []
+    merged: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    sizes = np.cumsum([len(c) for c in contexts])
     low = 0
     while low < len(contexts):
-        high, size = low, 0
-        while high < len(contexts) and (high == low or size + len(contexts[high]) <= SHARD):
-            size += len(contexts[high])
-            high += 1
+        done = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + SHARD, "right")))
         of, place, number = classes(contexts[low:high], length)
         of += low
-        keys = [owner[c][:2] + (owner[c][2] + p,) for c, p in zip(of.tolist(), place.tolist(), strict=True)] if len(of) else []
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(of) else np.empty(0, int)
-        stops = np.r_[starts[1:], len(of)]
-        firsts = starts.copy()
-        for n in np.flatnonzero(stops - starts > 1):
-            a, b = starts[n], stops[n]
-            firsts[n] = best = min(range(a, b), key=keys.__getitem__)
-            marked += [(int(of[k]), int(place[k])) for k in range(a, b) if k != best]
+        by = np.lexsort((owner[2][of] + place, owner[1][of], owner[0][of], number))
+        of, place, number = of[by], place[by], number[by]
+        first = np.r_[True, number[1:] != number[:-1]] if len(of) else np.empty(0, bool)
+        marked.append((of[~first], place[~first]))
         if low or high < len(contexts):  # other arrays of this anchor: their strings are found by binary search
-            strings = np.array([contexts[of[k]][place[k] : place[k] + length] for k in firsts], dtype=np.dtype((np.void, length)))
-            mine = [(int(of[k]), int(place[k])) for k in firsts]
-            for others, theirs in merged:
+            of, place = of[first], place[first]
+            strings = np.array([contexts[c][p : p + length] for c, p in zip(of.tolist(), place.tolist(), strict=True)], dtype=np.dtype((np.void, length)))
+            alive = np.ones(len(of), bool)
+            for others, of_2, place_2, alive_2 in merged:
                 at = _search(others, strings)
-                for k, m in enumerate(at):
-                    if m >= 0 and mine[k] is not None and theirs[m] is not None:
-                        x, y = mine[k], theirs[m]
-                        earlier = owner[x[0]][:2] + (owner[x[0]][2] + x[1],) < owner[y[0]][:2] + (owner[y[0]][2] + y[1],)
-                        marked.append(y if earlier else x)
-                        (theirs if earlier else mine)[m if earlier else k] = None
-            merged.append((strings, mine))
+                x = np.flatnonzero((at >= 0) & alive & alive_2[np.maximum(at, 0)])
+                y = at[x]
+                mine, theirs = of[x], of_2[y]
+                a = (owner[0][mine], owner[1][mine], owner[2][mine] + place[x])
+                b = (owner[0][theirs], owner[1][theirs], owner[2][theirs] + place_2[y])
+                earlier = (a[0] < b[0]) | (a[0] == b[0]) & ((a[1] < b[1]) | (a[1] == b[1]) & (a[2] < b[2]))
+                alive[x[~earlier]] = False
+                alive_2[y[earlier]] = False
+                marked += [(of[x[~earlier]], place[x[~earlier]]), (of_2[y[earlier]], place_2[y[earlier]])]
+            merged.append((strings, of, place, alive))
         low = high
-    return marked
+    return (np.concatenate([m[0] for m in marked]), np.concatenate([m[1] for m in marked])) if marked else (np.empty(0, np.int64),) * 2
 
 
 def _search(others: np.ndarray, strings: np.ndarray) -> np.ndarray:
@@ -214,53 +240,58 @@ def _search(others: np.ndarray, strings: np.ndarray) -> np.ndarray:
     return np.where((low < len(a)) & (a[at] == b).all(1), at, -1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes]]]:
-    ids, keys, texts, size = [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes], list[int]]]:
+    """Ids, text keys, texts and where in the text they start, some CHUNK bytes at a time; a longer text comes in pieces
+    that overlap so that each string is in one of them."""
+    ids, keys, texts, starts, size = [], [], [], [], 0
     for batch in batches:
         for d, k, t in zip(*(batch.column(i) for i in range(3)), strict=True):
             b = (t.as_py() or "").encode()
-            if len(b) < LENGTH:
-                continue
-            if size and size + len(b) > CHUNK:
-                yield ids, keys, texts
-                ids, keys, texts, size = [], [], [], 0
-            ids.append(d.as_py())
-            keys.append(k.as_py())
-            texts.append(b)
-            size += len(b)
+            for low in range(0, len(b) - LENGTH + 1, CHUNK):
+                piece = b[low : low + CHUNK + LENGTH - 1]
+                if size and size + len(piece) > CHUNK:
+                    yield ids, keys, texts, starts
+                    ids, keys, texts, starts, size = [], [], [], [], 0
+                ids.append(d.as_py())
+                keys.append(k.as_py())
+                texts.append(piece)
+                starts.append(low)
+                size += len(piece)
     if texts:
-        yield ids, keys, texts
+        yield ids, keys, texts, starts
 
 
-MARKED = "h long, doc_id long, tx long, first int, last int, context binary"
+MARKED = "h long, doc_id long, tx long, first int, last int, at int, context binary"
+MARK = "doc_id long, tx long, first int, last int"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "tx", "first", "last", "context"])
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "tx", "first", "last", "at", "context"])
 
 
-def _contexts(ids, keys, texts, hit, found) -> list[tuple]:
-    """Rows of a chunk: contexts of repeated anchors, the first of equal ones; the others are marks, without a context."""
-    h, of, first, last = found
+def _contexts(ids, keys, texts, starts, hit, found) -> list[tuple]:
+    """Rows of a chunk: contexts of repeated anchors, the first of equal ones; the others are marks, without a context.
+    at: where in the context the anchor is."""
+    h, of, first, last, at_ = (x[hit].tolist() for x in found)
     seen: dict[tuple[int, bytes], int] = {}
     rows: list[tuple] = []
-    for k in np.flatnonzero(hit).tolist():
-        n, a, b = int(of[k]), int(first[k]), int(last[k])
-        row = (int(h[k]), ids[n], keys[n], a, b, texts[n][a : b + LENGTH])
-        at = seen.setdefault((row[0], row[5]), len(rows))
+    for x, n, a, b, p in zip(h, of, first, last, at_, strict=True):
+        low = starts[n]
+        row = (x, ids[n], keys[n], low + a, low + b, p - a, texts[n][a : b + LENGTH])
+        at = seen.setdefault((x, row[6]), len(rows))
         if at < len(rows):
             other = rows[at]
             if row[1:4] < other[1:4]:
                 rows[at], row = row, other
-            row = (0, *row[1:5], None)
+            row = (0, *row[1:6], None)
         rows.append(row)
     return rows
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted by anchor: marks (doc_id, tx, first, last). Anchors go on over batches."""
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted by h: frames of whole groups, and where each begins. Groups go on over batches."""
     rest = None
     for batch in itertools.chain(batches, [None]):
         frame = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
@@ -270,40 +301,80 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         if batch is not None:
             rest, frame, starts = frame.iloc[starts[-1] :].reset_index(drop=True), frame.iloc[: starts[-1]], starts[:-1]
-        if not len(frame):
-            continue
-        docs, tx, first, last, context = (frame[c].tolist() for c in ("doc_id", "tx", "first", "last", "context"))
-        out: list[tuple] = []
-        some: list[bytes] = []
-        owner: list[tuple] = []
-        size, large = 0, []
+        if len(frame):
+            yield frame, starts
+
+
+def _firsts(context: list, order: list[tuple], low: int, high: int, marks: list[int]) -> dict[bytes, int]:
+    """The first row of each context; the others are added to ``marks``."""
+    kept: dict[bytes, int] = {}
+    for k in range(low, high):
+        other = kept.setdefault(context[k], k)
+        if other != k:
+            if order[k] < order[other]:
+                kept[context[k]], other = k, other
+            else:
+                other = k
+            marks.append(other)
+    return kept
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted by anchor: marks (doc_id, tx, first, last)."""
+    for frame, starts in _groups(batches):
+        owners = frame[["doc_id", "tx", "first"]].to_numpy(np.int64).T
+        order, context, last = list(zip(*owners.tolist(), strict=True)), frame["context"].tolist(), frame["last"].to_numpy(np.int64)
+        equal: list[int] = []
+        some: list[int] = []
+        size, arrays = 0, []
         for s, t in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
             if t - s < 2:
                 continue
-            kept: dict[bytes, int] = {}
-            for k in range(s, t):
-                other = kept.setdefault(context[k], k)
-                if other != k:
-                    if (docs[k], tx[k], first[k]) < (docs[other], tx[other], first[other]):
-                        kept[context[k]], other = k, other
-                    else:
-                        other = k
-                    out.append((docs[other], tx[other], first[other], last[other]))
+            kept = _firsts(context, order, s, t, equal)
             if len(kept) > 1:
-                mine = ([*kept], [(docs[k], tx[k], first[k]) for k in kept.values()])
-                if sum(map(len, mine[0])) > SHARD:
-                    large.append(mine)
-                    continue
-                some += mine[0]
-                owner += mine[1]
-                size += sum(map(len, mine[0]))
+                some += kept.values()
+                size += sum(map(len, kept))
                 if size > SHARD // 2:  # whole anchors share an array: strings of different anchors are never equal
-                    large.append((some, owner))
-                    some, owner, size = [], [], 0
-        for contexts, owners in [*large, (some, owner)] if some else large:
-            out += [(owners[c][0], owners[c][1], owners[c][2] + p, owners[c][2] + p) for c, p in later(contexts, owners)]
-        if out:
-            yield pd.DataFrame(out, columns=["doc_id", "tx", "first", "last"])
+                    arrays.append(some)
+                    some, size = [], 0
+        out = [(owners[0][equal], owners[1][equal], owners[2][equal], last[equal])]
+        for rows in [*arrays, some] if some else arrays:
+            mine = owners[:, rows]
+            of, place = later([context[k] for k in rows], mine)
+            begin = mine[2][of] + place
+            out.append((mine[0][of], mine[1][of], begin, begin))
+        if any(len(o[0]) for o in out):
+            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("doc_id", "tx", "first", "last"))})
+
+
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted by h, which stands for anchor, context and salt: the first row of each context; the others lose theirs."""
+    for frame, starts in _groups(batches):
+        order, context = list(zip(*frame[["doc_id", "tx", "first"]].to_numpy(np.int64).T.tolist(), strict=True)), frame["context"].tolist()
+        marks: list[int] = []
+        for s, t in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
+            _firsts(context, order, s, t, marks)
+        for k in marks:
+            context[k] = None
+        yield frame.assign(h=frame["anchor"], context=context).drop(columns="anchor")
+
+
+def _split(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot anchors (``counts``: h, times) by parts, and marks of those whose context comes earlier."""
+    hot = join_small(rows, counts.withColumnRenamed("h", "__h"), F.col("h") == F.col("__h"), "inner", counts.count())
+    salt = F.pmod(F.xxhash64("doc_id", "tx", "first"), F.ceil(F.col("times") / HOT))
+    salted = hot.withColumns({"anchor": F.col("h"), "h": F.xxhash64("h", "context", salt)}).drop("__h", "times")
+    thin = stored(salted.repartition("h").sortWithinPartitions("h").mapInPandas(_thinned, MARKED), "hot")
+    rest, gram = LENGTH - min(GRAM, LENGTH), min(GRAM, LENGTH)
+    begins = [F.struct(F.lit(o).alias("near"), F.lit(min(o + STEP - 1, rest)).alias("far")) for o in range(0, rest + 1, STEP)]
+    parts = thin.filter("context is not null").withColumn("o", F.explode(F.array(*begins)))
+    # The string starts near to far bytes before the anchor, so near bytes before it and rest - far after it are its own.
+    size, at, near, far = F.octet_length("context"), F.col("at"), F.col("o.near"), F.col("o.far")
+    low, high = F.greatest(F.lit(0), at - far), F.least(size, at + gram + rest - near)
+    cut = parts.filter((at >= near) & (size >= at + gram + rest - far) & (high - low >= LENGTH))
+    own = F.substring(F.col("context"), at - near + 1, near + gram + rest - far)
+    made = cut.select(F.xxhash64("h", near, own).alias("h"), "doc_id", "tx", (F.col("first") + low).alias("first"), (F.col("first") + high - LENGTH).alias("last"), (at - low).alias("at"), F.substring("context", low + 1, high - low).alias("context"))
+    return made, thin.filter("context is null").select("doc_id", "tx", "first", "last")
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -315,12 +386,29 @@ def _base(docs: DataFrame) -> DataFrame:
     found = each.groupBy("md").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.sum("n").alias("times")).filter("times > 1")
     again = stored(found.select("md", F.col("first.doc_id").alias("owner"), (F.col("first.n") > 1).alias("twins")), "copies")
     keyed = rows.withColumn("m", F.unhex(F.md5(F.col("text").cast("binary"))))
-    joined = join_small(keyed, again, F.col("m") == F.col("md"), "left", again.count(), 500_000)
+    joined = join_small(keyed, again, F.col("m") == F.col("md"), "left", again.count(), SMALL)
     copied = F.col("doc_id") > F.col("owner")
     twin = F.lit(False) if again.filter("twins").isEmpty() else F.col("twins") & (F.col("doc_id") == F.col("owner"))
     return joined.select("id", "doc_id", "tx", "text", F.coalesce(copied, F.lit(False)).alias("copied"), F.coalesce(twin, F.lit(False)).alias("twin"))
 
 
+def _bitmap(anchors_: DataFrame) -> np.ndarray:
+    """Bits of hashes, packed by tasks, a piece each, so that the driver gets few rows of BITS / 8 bytes in all."""
+    piece = min(BITS, 1 << 17)
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        set_ = np.zeros(piece, np.uint8)
+        set_[frame["bit"].to_numpy() % piece] = 1
+        return pd.DataFrame({"piece": [key[0]], "bits": [np.packbits(set_, bitorder="little").tobytes()]})
+
+    bit = F.col("h").bitwiseAND(BITS - 1)
+    rows = anchors_.select(bit.alias("bit"), F.floor(bit / piece).cast("int").alias("piece")).groupBy("piece").applyInPandas(pack, "piece int, bits binary")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():  # BITS / piece rows at most
+        out[r["piece"] * piece // 8 : (r["piece"] + 1) * piece // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def repeats(docs: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with ``copied``, and marks (doc_id, tx, first, last): strings that start in first..last repeat."""
     base = _base(docs) if base is None else base
@@ -331,53 +419,55 @@ def repeats(docs: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame,
         texts = texts.union(stored(twins.dropDuplicates(["doc_id", "tx"]), "twins"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, chunk in _chunks(batches):
+        for _, _, chunk, _ in _chunks(batches):
             h, n = np.unique(anchors(chunk)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
     again = stored(texts.mapInArrow(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
     if again.count() <= BITS // 16:
-        bit = F.col("h").bitwiseAND(BITS - 1)
-        words = again.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("b")).toPandas()
-        bits = np.zeros(BITS // 64, np.int64)
-        bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+        bits = _bitmap(again)
         held = spark.sparkContext.broadcast(bits)
 
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, keys, chunk in _chunks(batches):
+            for ids, keys, chunk, starts in _chunks(batches):
                 found = anchors(chunk)
                 at = found[0] & (BITS - 1)
-                yield _emit(_contexts(ids, keys, chunk, held.value[at >> 6] >> (at & 63) & 1 == 1, found))
+                yield _emit(_contexts(ids, keys, chunk, starts, held.value[at >> 3] >> (at & 7) & 1 == 1, found))
 
         rows = texts.mapInArrow(contexts, MARKED)
     else:
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, keys, chunk in _chunks(batches):
-                h, of, first, last = anchors(chunk)
-                yield _emit([(int(x), ids[n], keys[n], int(a), int(b), None) for x, n, a, b in zip(h, of, first, last, strict=True)])
+            for ids, keys, chunk, starts in _chunks(batches):
+                found = (x.tolist() for x in anchors(chunk))
+                yield _emit([(x, ids[n], keys[n], starts[n] + a, starts[n] + b, p - a, None) for x, n, a, b, p in zip(*found, strict=True)])
 
-        hits = texts.mapInArrow(places, MARKED).join(again, "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("h", "first", "last")).alias("hits"))
+        hits = texts.mapInArrow(places, MARKED).join(again, "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("h", "first", "last", "at")).alias("hits"))
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for d, k, t, found in zip(batch["doc_id"], batch["tx"], batch["text"], batch["hits"], strict=True):
                     data = t.encode()
-                    out += [(x["h"], d, k, x["first"], x["last"], data[x["first"] : x["last"] + LENGTH]) for x in found]
-                yield pd.DataFrame(out, columns=["h", "doc_id", "tx", "first", "last", "context"])
+                    out += [(x["h"], d, k, x["first"], x["last"], x["at"], data[x["first"] : x["last"] + LENGTH]) for x in found]
+                yield pd.DataFrame(out, columns=["h", "doc_id", "tx", "first", "last", "at", "context"])
 
         rows = texts.join(hits, ["doc_id", "tx"]).select("doc_id", "tx", "text", "hits").mapInPandas(cut, MARKED)
     rows = stored(rows, "contexts")
-    sharded = rows.filter("context is not null").repartition("h").sortWithinPartitions("h").mapInPandas(_shards, "doc_id long, tx long, first int, last int")
-    return base, rows.filter("context is null").select("doc_id", "tx", "first", "last").union(sharded)
+    marks, some = rows.filter("context is null").select("doc_id", "tx", "first", "last"), rows.filter("context is not null")
+    hot = stored(some.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT), "hot")
+    if not hot.isEmpty():
+        parts, thinned = _split(some, hot)
+        some = join_small(some, hot.select(F.col("h").alias("__h")), F.col("h") == F.col("__h"), "left_anti", hot.count()).union(parts)
+        marks = marks.union(thinned)
+    return base, marks.union(some.repartition("h").sortWithinPartitions("h").mapInPandas(_shards, MARK))
 
 
 def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (what is left, as bytes)."""
     base, marks = repeats(docs)
     spans = stored(marks.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnsRenamed({"doc_id": "d", "tx": "k"}), "spans")
-    joined = join_small(base, spans, (F.col("doc_id") == F.col("d")) & (F.col("tx") == F.col("k")), "left", spans.agg(F.sum(F.size("spans"))).first()[0] or 0, 2_000_000)
+    joined = join_small(base, spans, (F.col("doc_id") == F.col("d")) & (F.col("tx") == F.col("k")), "left", spans.agg(F.sum(F.size("spans"))).first()[0] or 0, SMALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,13 +65,26 @@ def test_empty_table(none, name):
 @pytest.mark.parametrize("step", range(5))
 def test_stages(spark, docs, none, step):
     name, stage = corpus_pipeline.STAGES[step]
-    out = stage(spark, docs.drop(*CLASH), "")
+    clash = [*CLASH, "turn", "number", "ids", "mark", "taken"]
+    out = stage(spark, docs.withColumns({c: F.lit("clash") for c in clash}), "")
     assert out.count() > 0
     if step < 4:
-        assert out.columns == none.columns
+        assert sorted(out.columns) == sorted([*none.columns, *clash])
+    others = [c for c in clash if step < 4 or c != "ids"]
+    assert set(others) <= set(out.columns) and all(x == "clash" for r in out.select(*others).distinct().collect() for x in r)
     assert stage(spark, none, "").count() == 0
 
 
+def test_stages_on_null_and_repeated_ids(spark):
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, long(1)), (1, long(1)), (None, long(1)), (None, long(2)), (None, long(2) + " tail"), (3, long(3)), (3, long(4)), (2, long(4) + " more"), (7, None), (7, None), (8, "")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    left = sorted(((r["doc_id"] or 0), (r["text"] or "")[:3]) for r in out)
+    assert left == [(0, "w2x"), (1, "w1x"), (2, "w4x"), (3, "w3x"), (7, ""), (7, ""), (8, "")]
+    made = corpus_pipeline.personal_data(spark, spark.createDataFrame([(1, None, 5), (2, "no data", 1)], "doc_id long, text string, n_chars long"), "")
+    assert sorted(map(tuple, made.collect())) == [(1, None, None), (2, "no data", 7)]
+
+
 def test_defined_results(docs):
     found = {r["doc_id"]: r for r in ngram_join.groups(docs).collect()}
     assert found[2]["n_shingles"] == 0 and found[2]["component_id"] == 2
@@ -86,6 +99,19 @@ def test_defined_results(docs):
     assert all(r["score"] == 0 and r["predicted"] == 0 for r in scores.values())
 
 
+def test_values_on_nulls_and_long_texts(docs, spark):
+    long = len(LONG.split())
+    mixed = {(r["doc_id"], r["size"]) for r in mixing.placed(docs).collect()}
+    assert {(2, 0), (3, 0), (4, 0), (5, long), (6, long + 1), (7, 1)} <= mixed
+    scores = {r["doc_id"]: r for r in hmm.scored(docs).collect()}
+    assert [scores[k]["n_tokens"] for k in (2, 3, 4, 5, 6, 7)] == [1, 1, 1, long + 1, long + 2, 2]
+    assert all(r["score"] < 0 for r in scores.values()) and scores[2]["score"] == scores[3]["score"]
+    ids = {r["doc_id"]: r for r in bpe.encode_documents(docs, *RANKS, ("n_tokens", "decoded")).collect()}
+    assert ids[2]["n_tokens"] == 0 and ids[2]["decoded"] == b"" and ids[5]["decoded"] == LONG.encode()
+    made = {r["doc_id"]: r for r in surrogates.with_surrogates(docs).collect()}
+    assert made[2]["text"] is None and made[2]["n_entities"] == 0 and made[5]["text"] == LONG and made[8]["n_entities"] == 2
+
+
 def test_pages(spark):
     rows = [(1, "http://a b/\n", "same"), (2, None, "same"), (3, "http://c", None), (4, "http://d", ""), (None, "http://e", "same"), (5, "http://f", "a\r\n\r\nb"), (2, "http://again", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1))

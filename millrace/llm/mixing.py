@@ -12,7 +12,7 @@ The last slot of a source is cut so that the source yields its target to the wor
 
 Nulls: a null text has no words; documents of a null source are a source of their own, which comes last;
 a null doc_id stays. Equal rows are interchangeable and each counts. Empty tables give empty results; if
-no text has words, nothing is taken. Other columns are only carried.
+no text has words, nothing is taken. Other columns are only carried; those named size or first are replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from millrace.llm.common import stored, table, words
 BLOCK = 512
 SHARD = 1024
 MOST = 3
-#: Rows that are packed by one task.
-CHUNK = 20_000
-#: Random splits are exact up to this many slots; above, halves are dealt in proportion.
-RANDOM_BELOW = 500_000_000
+#: Rows that are put in order together; sums of these are put in order by source.
+CHUNK = 2_000
+#: Sources up to which the plan is joined by broadcast.
+SOURCES = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -57,11 +57,14 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _rounds(n: int, key: int) -> tuple[np.uint64, np.uint64, list[np.uint64]]:
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    return half, np.uint64((1 << int(half)) - 1), [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & (2**64 - 1)) for r in range(4)]
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..n-1: a Feistel network on the next even number of bits, walked until inside."""
-    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
-    mask = np.uint64((1 << int(half)) - 1)
-    keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & (2**64 - 1)) for r in range(4)]
+    half, mask, keys = _rounds(n, key)
     out, todo = index.astype(np.uint64), np.ones(len(index), bool)
     with np.errstate(over="ignore"):
         while todo.any():
@@ -74,18 +77,41 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def index_of(value: int, n: int, key: int) -> int:
+    """Which index ``permuted`` takes to a value: the rounds backwards, walked until inside."""
+    half, mask, keys = _rounds(n, key)
+    x = np.array([value], np.uint64)
+    with np.errstate(over="ignore"):
+        while True:
+            left, right = x >> half, x & mask
+            for k in reversed(keys):
+                left, right = right ^ (mixed_bits(left ^ k) & mask), left
+            x = left << half | right
+            if x[0] < n:
+                return int(x[0])
+
+
+def drawn(count: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among ``size`` drawn without replacement from ``count`` of each, at any size: each is
+    taken with the same chance, and then single ones, of which there are about the root of all, are added or put back."""
+    total = int(count.sum())
+    if not total:
+        return np.zeros_like(count)
+    taken = rng.binomial(count, size / total)
+    more = size - int(taken.sum())
+    pool = count - taken if more > 0 else taken
+    single = rng.choice(int(pool.sum()), abs(more), replace=False, shuffle=False) if more else np.empty(0, np.int64)
+    change = np.bincount(np.searchsorted(np.cumsum(pool), single, "right"), minlength=len(count))
+    return taken + change if more > 0 else taken - change
+
+
 def shard_draw(totals: np.ndarray, shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Per source: where the shard's slots start in the source's sequence, and how many it has."""
     start, count, low, high = np.zeros_like(totals), totals.copy(), 0, shards
     while high - low > 1:
         middle = (low + high) // 2
         size = min((middle - low) * slots, int(count.sum()))
-        if count.sum() < RANDOM_BELOW:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(count, size, method="marginals")
-        else:
-            share = count * (size / count.sum())
-            left = np.floor(share).astype(np.int64)
-            left[np.argsort(left - share, kind="stable")[: size - int(left.sum())]] += 1
+        left = drawn(count, size, np.random.default_rng([seed, low, high]))
         if shard < middle:
             count, high = left, middle
         else:
@@ -93,21 +119,38 @@ def shard_draw(totals: np.ndarray, shards: int, slots: int, shard: int, seed: in
     return start, count
 
 
-def placed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Each row's columns with size, and first: its place in its source's sequence of words.
+def sized(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with __size, the number of words, and __id, a hash of doc_id and text; without columns of these names."""
+    return docs.withColumn("__size", F.size(words(F.col(text))).cast("long")).withColumn("__id", F.xxhash64("doc_id", text))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """A stored copy of the rows with __row, a number of each."""
+    return stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def places(rows: DataFrame, source: str = "source") -> DataFrame:
+    """Of numbered, sized rows: (row, source, size, first); first is the row's place in its source's sequence of words.
 
     The order within a source is by a hashed chunk, then doc_id and text; chunks are summed first, so that a large
-    source is placed by many tasks.
+    source is put in order by many tasks. Texts don't take part.
     """
-    named = docs.withColumn("size", F.size(words(F.col(text))).cast("long")).withColumn("__id", F.xxhash64("doc_id", text))
-    chunks = max(1, -(-docs.count() // CHUNK))
-    kept = stored(named.withColumn("__chunk", F.pmod("__id", F.lit(chunks))), "sized")
-    sums = kept.groupBy(F.col(source).alias("__s"), F.col("__chunk").alias("__c")).agg(F.sum("size").alias("__n"))
-    before = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy(source, "__chunk").orderBy("doc_id", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = kept.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = rows.join(before, rows[source].eqNullSafe(before["__s"]) & (rows["__chunk"] == before["__c"]), "left")
-    return joined.withColumn("first", F.col("__in") + F.coalesce("__before", F.lit(0))).drop("__id", "__chunk", "__s", "__c", "__n", "__before", "__in")
+    chunks = max(1, -(-rows.count() // CHUNK))
+    light = rows.select(F.col("__row").alias("row"), F.col(source).alias("source"), F.col("__size").alias("size"), "doc_id", F.col("__id").alias("id"), F.pmod("__id", F.lit(chunks)).alias("chunk"))
+    sums = light.groupBy(F.col("source").alias("s"), F.col("chunk").alias("c")).agg(F.sum("size").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    within = Window.partitionBy("source", "chunk").orderBy("doc_id", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = light.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = inside.join(before, inside["source"].eqNullSafe(before["s"]) & (inside["chunk"] == before["c"]), "left")
+    return joined.select("row", "source", "size", (F.col("inside") + F.coalesce("before", F.lit(0))).alias("first"))
+
+
+def placed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """Each row's columns with size, and first: its place in its source's sequence of words."""
+    rows = numbered(sized(docs, text))
+    found = places(rows, source).select(F.col("row").alias("__row"), F.col("size").alias("__s"), F.col("first").alias("__f"))
+    own = [c for c in docs.columns if c not in ("size", "first")]
+    return rows.join(found, "__row").select(*own, F.col("__s").alias("size"), F.col("__f").alias("first"))
 
 
 def plan_of(rows: DataFrame, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = MOST, block: int = BLOCK) -> list[dict]:
@@ -121,9 +164,8 @@ def plan_of(rows: DataFrame, source: str = "source", weights: tuple[float, ...]
         passes, rest = divmod(aim, n) if n else (0, 0)
         plan.append({"number": i, "source": r[0], "size": n, "target": target, "blocks": size, "passes": passes, "rest": rest, "slots": passes * size + -(-rest // block)})
         if rest:  # the last block of a source may be short: if it comes before the cut, one more slot is needed
-            seen = permuted(np.arange(plan[-1]["slots"] - passes * size), size, _key(0, i, passes))
-            short = block - (n - (size - 1) * block)
-            if (seen == size - 1).any() and (len(seen) * block - short) < rest:
+            slots, short = -(-rest // block), block - (n - (size - 1) * block)
+            if index_of(size - 1, size, _key(0, i, passes)) < slots and slots * block - short < rest:
                 plan[-1]["slots"] += 1
     return plan
 
@@ -155,8 +197,8 @@ def slots_of(spark: SparkSession, plan: list[dict], block: int = BLOCK, shard: i
                     last = k == p["slots"] - 1
                     if p["rest"] and last.any():  # the blocks before it in its pass are whole, but for a short one
                         m = int(at[last][0])
-                        before = permuted(np.arange(m), n, _key(0, p["number"], p["passes"])) if m else np.empty(0, np.int64)
-                        taken = m * block - (block - (p["size"] - (n - 1) * block)) * int((before == n - 1).sum())
+                        short = index_of(n - 1, n, _key(0, p["number"], p["passes"])) < m
+                        taken = m * block - (block - (p["size"] - (n - 1) * block)) * short
                         size = np.where(last, np.minimum(size, p["rest"] - taken), size)
                     parts.append(pd.DataFrame({"number": p["number"], "turn": turn, "block": index, "words": size}))
                 if parts:
@@ -168,25 +210,34 @@ def slots_of(spark: SparkSession, plan: list[dict], block: int = BLOCK, shard: i
 
 def mixture(rows: DataFrame, plan: list[dict], source: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """What fills each slot: rows (shard, slot, number, turn, block, first, from_word, n_words), a row for each
-    document with words in the slot's block; the document is the one of its source whose words start at ``first``."""
+    document with words in the slot's block; the document is the one of its source whose words start at ``first``.
+
+    Slots grow with the corpus, whatever the planner takes them for, so they are joined by a shuffle."""
     spark = rows.sparkSession
-    numbers = spark.createDataFrame([(p["number"], p["source"]) for p in plan], "number int, name string")
     mine = rows.filter("size > 0").select(F.col(source).cast("string").alias("__s"), "first", "size")
-    numbered = mine.join(F.broadcast(numbers) if len(plan) <= 100_000 else numbers, F.col("__s").eqNullSafe(F.col("name"))).drop("__s", "name")
+    numbered = with_plan(mine, "__s", plan, ("number",)).drop("__s")
     cut = numbered.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     low = F.greatest(F.col("first"), F.col("block") * block)
     high = F.least(F.col("first") + F.col("size"), F.col("block") * block + F.col("words"))
-    joined = slots_of(spark, plan, block, shard, seed).join(cut, ["number", "block"])
+    joined = slots_of(spark, plan, block, shard, seed).hint("merge").join(cut, ["number", "block"])
     return joined.select("shard", "slot", "number", "turn", "block", "first", (low - F.col("first")).alias("from_word"), (high - low).alias("n_words")).filter("n_words > 0")
 
 
+def with_plan(rows: DataFrame, source: str, plan: list[dict], fields: tuple[str, ...]) -> DataFrame:
+    """Rows with fields of their source's plan."""
+    kinds = {"number": "int", "size": "long", "target": "double"}
+    named = rows.sparkSession.createDataFrame([(p["source"], *(p[f] for f in fields)) for p in plan], "__name string, " + ", ".join(f"`{'source_size' if f == 'size' else f}` {kinds[f]}" for f in fields))
+    return rows.join(F.broadcast(named) if len(plan) <= SOURCES else named.hint("merge"), F.col(source).eqNullSafe(F.col("__name"))).drop("__name")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = stored(placed(docs).select("doc_id", "source", "size", "first"), "placed")
+    light = numbered(sized(docs).drop("text"))
+    rows = stored(places(light), "placed")
     plan = plan_of(rows)
     taken = mixture(rows, plan).groupBy("number", "first").agg(F.sum("n_words").alias("taken"))
-    named = spark.createDataFrame([(p["number"], p["source"], p["size"], p["target"]) for p in plan], "number int, name string, source_size long, target double")
-    held = rows.join(F.broadcast(named) if len(plan) <= 100_000 else named, F.col("source").eqNullSafe(F.col("name")))
+    ids = light.select(F.col("__row").alias("row"), "doc_id")
+    held = with_plan(rows, "source", plan, ("number", "size", "target")).join(ids, "row")
     # A document without words shares its place with the next one, and takes nothing.
     joined = held.withColumn("n", F.when(F.col("size") > 0, F.col("number"))).join(taken.withColumnRenamed("number", "n"), ["n", "first"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -3,14 +3,16 @@
 Voters are words and beginnings of words of a lexicon, mined from labelled training rows, and patterns. Every text is read once for its votes.
 A generative label model (two latent classes, each voter with a rate in each class) is fitted by expectation and
 maximisation to the votes of all training rows, beginning from the labelled ones; voters that go together within the
-toxic class, as the pairwise moments show, share their weight where they fire together. A linear classifier is trained on the posterior labels
-that the model gives to a bounded sample, and scores every text.
+toxic class, as the pairwise moments show, share their weight where they fire together. A linear classifier is trained
+by Newton's method on the posterior labels that the model gives to all training rows, labelled or not; rows of equal
+votes are one weighted row, and tasks add up gradients. It scores every text.
 
 Labels of held-out rows are never read, nor are lang, source or doc_id inputs of a score.
 
 Nulls: a null text is empty; a null doc_id counts as the empty text for the split (crc32 0: held out) and has no label.
 Null labels are no labels; a row that is labelled twice counts as toxic if one label is. Repeated rows are scored each.
-Without toxic labels nothing is mined and every score is 0. Empty tables give empty results. Other columns are not read.
+Without toxic labels every score is 0. If no word tells toxic texts, the patterns vote alone. Empty tables give empty
+results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,20 +26,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import join_small, stored, table
 
-#: Labelled training rows that the lexicon and the classifier are fitted to, at most.
+#: Labelled training rows that the lexicon is mined from and the label model begins with, at most.
 SAMPLE = 8000
-LEXICON = 48
 #: A word is a voter if it is in so many toxic texts and its log odds are so many deviations above 0.
 LEAST = 4
 DEVIATIONS = 3.2
-#: Other texts that may hold it, for each toxic one.
-PURITY = 0.02
+#: Other texts that may hold it, for each toxic one; the label model weighs what is left.
+PURITY = 0.1
 ROUNDS = 5
+STEPS = 8
+RIDGE = 0.3
+#: Parts in which the share of hits is measured.
+PARTS = 32
+#: Numbers of a matrix of votes that a task holds at a time.
+CELLS = 2_000_000
+#: Least hashes of five words that tell whether texts are nearly the same: a quarter of them in common.
+SKETCH = 24
 WORD = re.compile(r"[^\W\d_]+")
 #: Patterns: shouting, masked words, hits that repeat, hits that are dense.
 PATTERNS = 4
@@ -65,11 +75,11 @@ def mined(texts: list[str], toxic: list[bool]) -> list[str]:
     n = [0, 0]
     for text, bad in zip(texts, toxic, strict=True):
         words = words_in(text)
-        runs = {hash(tuple(words[i : i + 5])) for i in range(len(words))} or {0}
-        marks = {(0, min(runs)), (1, max(runs))}
-        if marks & seen:
+        runs = sorted({xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5]).encode()) for i in range(len(words))} or {0})[:SKETCH]
+        alike = len(seen.intersection(runs)) * 4 >= len(runs)
+        seen.update(runs)
+        if alike:
             continue
-        seen |= marks
         n[bad] += 1
         (inside if bad else outside).update({k for w in set(words) for k in keys_of(w)})
     found = []
@@ -84,7 +94,7 @@ def mined(texts: list[str], toxic: list[bool]) -> list[str]:
         stem = key.rstrip("*")
         if not any(stem.startswith(k.rstrip("*")) or k.startswith(stem) for k in kept):
             kept.append(key)
-    return kept[:LEXICON]
+    return kept
 
 
 class Lexicon:
@@ -108,23 +118,20 @@ class Lexicon:
         return [at for w in words if (at := self.find(w) if (seen := known(w)) is None else seen) >= 0]
 
 
-def votes(text: str, lexicon: Lexicon) -> tuple[int, int, int]:
-    """Bits of the voters that fire, words that the lexicon matches, words."""
+def votes(text: str, lexicon: Lexicon) -> tuple[list[int], int, int]:
+    """The voters that fire, words that the lexicon matches, and their share of all words, in parts."""
     words = words_in(text)
     hits = lexicon.hits(words)
-    bits = 0
-    for k in set(hits):
-        bits |= 1 << k
-    m = len(lexicon)
+    fired, m = sorted(set(hits)), len(lexicon)
     if text.count("!") >= 3:
-        bits |= 1 << m
+        fired.append(m)
     if "**" in text and MASKED.search(text):
-        bits |= 1 << m + 1
+        fired.append(m + 1)
     if len(hits) >= 3:
-        bits |= 1 << m + 2
+        fired.append(m + 2)
     if hits and len(hits) * 100 >= len(words):
-        bits |= 1 << m + 3
-    return bits, len(hits), len(words)
+        fired.append(m + 3)
+    return fired, len(hits), min(PARTS, 20 * len(hits) * PARTS // max(len(words), 1))
 
 
 @dataclass
@@ -142,25 +149,53 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def unpacked(bits: np.ndarray, m: int) -> np.ndarray:
-    return (bits[:, None] >> np.arange(m) & 1).astype(float)
+def unpacked(fired, m: int) -> np.ndarray:
+    """A row for each list of voters, a column for each voter."""
+    out = np.zeros((len(fired), m))
+    sizes = [len(f) for f in fired]
+    if sum(sizes):
+        out[np.repeat(np.arange(len(fired)), sizes), np.concatenate([np.asarray(f, np.int64) for f in fired])] = 1
+    return out
 
 
-def moments(patterns: DataFrame, model: LabelModel, m: int) -> dict[int, float]:
-    """Expected sums over all rows under the model; one row per moment comes to the driver, of which there are about
-    two to the power of two per pair of voters: 0 rows, 1 toxic, then per class firings, then pairs in the toxic class."""
-    held = patterns.sparkSession.sparkContext.broadcast(model)
+def features(fired: np.ndarray, hits: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return np.c_[fired, hits > 0, np.log1p(hits), share / PARTS, np.ones(len(fired))]
+
+
+def _pieces(batch: pd.DataFrame, m: int) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """Votes unpacked, some rows at a time."""
+    step = max(1, CELLS // m)
+    for low in range(0, len(batch), step):
+        part = batch.iloc[low : low + step]
+        yield unpacked(part["fired"].tolist(), m), part
+
+
+def _summed(patterns: DataFrame, m: int, size: int, add) -> np.ndarray:
+    """The sum over all rows of ``add(votes, rows)``, ``size`` numbers, added up by tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 + 2 * m + m * m)
+        total = np.zeros(size)
         for batch in batches:
-            fired, n = unpacked(batch["bits"].to_numpy(), m), batch["n"].to_numpy(float)
-            q = held.value.posterior(fired) * n
-            total += np.r_[n.sum(), q.sum(), (n - q) @ fired, q @ fired, ((fired * q[:, None]).T @ fired).ravel()]
+            for fired, part in _pieces(batch, m):
+                total += add(fired, part)
         yield pd.DataFrame({"k": np.flatnonzero(total), "v": total[total != 0]})
 
-    rows = patterns.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    return {r["k"]: r["v"] for r in rows}
+    rows = patterns.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(size)
+    out[rows["k"].to_numpy(np.int64)] = rows["v"].to_numpy()
+    return out
+
+
+def moments(patterns: DataFrame, model: LabelModel, m: int) -> np.ndarray:
+    """Expected sums over all rows under the model: rows, toxic ones, then per class firings, then pairs in the toxic class."""
+    held = patterns.sparkSession.sparkContext.broadcast(model)
+
+    def add(fired: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        n = part["n"].to_numpy(float)
+        q = held.value.posterior(fired) * n
+        return np.r_[n.sum(), q.sum(), (n - q) @ fired, q @ fired, ((fired * q[:, None]).T @ fired).ravel()]
+
+    return _summed(patterns, m, 2 + 2 * m + m * m, add)
 
 
 def fitted(patterns: DataFrame, fired: np.ndarray, toxic: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
@@ -169,8 +204,7 @@ def fitted(patterns: DataFrame, fired: np.ndarray, toxic: np.ndarray, rounds: in
     rate = lambda rows: (rows.sum(0) + 0.05) / (len(rows) + 1.0)
     model = LabelModel(float(np.clip(toxic.mean(), 0.001, 0.999)), np.stack([rate(fired[~toxic]), rate(fired[toxic])]), np.zeros((m, m)))
     for _ in range(rounds):
-        got = moments(patterns, model, m)
-        flat = np.array([got.get(i, 0.0) for i in range(2 + 2 * m + m * m)])
+        flat = moments(patterns, model, m)
         n, bad = flat[0], flat[1]
         good_fired, bad_fired, pairs = flat[2 : 2 + m], flat[2 + m : 2 + 2 * m], flat[2 + 2 * m :].reshape(m, m)
         mean = bad_fired / max(bad, 1e-9)
@@ -185,17 +219,24 @@ def fitted(patterns: DataFrame, fired: np.ndarray, toxic: np.ndarray, rounds: in
     return model
 
 
-def features(bits: np.ndarray, hits: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
-    return np.c_[unpacked(bits, m), hits > 0, np.log1p(hits), np.minimum(1, 20 * hits / np.maximum(words, 1)), np.ones(len(bits))]
-
-
-def linear(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 0.3) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method."""
-    w = np.zeros(x.shape[1])
+def linear(patterns: DataFrame, model: LabelModel, m: int, steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """Logistic regression on the posteriors of all rows by Newton's method."""
+    size, spark = m + 4, patterns.sparkSession
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
+        held = spark.sparkContext.broadcast((model, w))
+
+        def add(fired: np.ndarray, part: pd.DataFrame, held=held) -> np.ndarray:
+            model, w = held.value
+            x, n = features(fired, part["hits"].to_numpy(), part["share"].to_numpy()), part["n"].to_numpy(float)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            return np.r_[x.T @ (n * (p - model.posterior(fired))), ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()]
+
+        flat = _summed(patterns, m, size + size * size, add)
+        step = np.linalg.solve(flat[size:].reshape(size, size) + ridge * np.eye(size), flat[:size] + ridge * w)
+        w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-3:
+            break
     return w
 
 
@@ -217,25 +258,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lexicon = held_lexicon.value
-            found = [votes(t.as_py() or "", lexicon) for t in batch.column(1)]
-            columns = list(zip(*found, strict=True)) if found else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "bits", "hits", "words"])
-
-    voted = stored(rows.mapInArrow(vote, "doc_id long, bits long, hits long, words long").withColumn("held_out", held_out(F.col("doc_id"))), "votes")
-    if not len(lexicon):
+            fired, hits, share = [], [], []
+            for t in batch.column(1):
+                found = votes(t.as_py() or "", lexicon)
+                fired.append(found[0])
+                hits.append(found[1])
+                share.append(found[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fired, pa.list_(pa.int32())), pa.array(hits, pa.int64()), pa.array(share, pa.int32())], ["doc_id", "fired", "hits", "share"])
+
+    voted = stored(rows.mapInArrow(vote, "doc_id long, fired array<int>, hits long, share int").withColumn("held_out", held_out(F.col("doc_id"))), "votes")
+    if not toxic.any():
         return voted.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    patterns = stored(voted.filter(~F.col("held_out")).groupBy("bits").agg(F.count(F.lit(1)).alias("n")), "patterns")
-    bits, hits, words = (np.array(c) for c in zip(*(votes(t, lexicon) for t in texts), strict=True))
-    fired = unpacked(bits, m)
-    model = fitted(patterns, fired, toxic)
-    weights = linear(features(bits, hits, words, m), model.posterior(fired))
+    patterns = stored(voted.filter(~F.col("held_out")).groupBy("fired", "hits", "share").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    fired = unpacked([votes(t, lexicon)[0] for t in texts], m)
+    weights = linear(patterns, fitted(patterns, fired, toxic), m)
     held = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = features(*(batch[c].to_numpy() for c in ("bits", "hits", "words")), m)
-            p = 1 / (1 + np.exp(-np.clip(x @ held.value, -30, 30)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
+            for x, part in _pieces(batch, m):
+                p = 1 / (1 + np.exp(-np.clip(features(x, part["hits"].to_numpy(), part["share"].to_numpy()) @ held.value, -30, 30)))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     return voted.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -66,7 +66,7 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     "regexp_matches": "{0} rlike {1}",
     "regexp_like": "{0} rlike {1}",
     "regexp": "{0} rlike {1}",
-    "regexp_replace": {3: "regexp_replace({0}, {1}, {2}, 1)", 4: "regexp_replace({0}, {1}, {2})"},
+    "regexp_replace": {3: "if(regexp_instr({0}, {1}) = 0, {0}, concat(left({0}, regexp_instr({0}, {1}) - 1), regexp_replace(regexp_extract({0}, {1}, 0), {1}, {2}), substring({0}, regexp_instr({0}, {1}) + length(regexp_extract({0}, {1}, 0)))))", 4: "regexp_replace({0}, {1}, {2})"},
     "regexp_extract": {2: "regexp_extract({0}, {1}, 0)", 3: "regexp_extract({0}, {1}, {2})"},
     "regexp_split_to_array": "split({0}, {1}, -1)",
     "regexp_extract_all": {2: "regexp_extract_all({0}, {1}, 0)", 3: "regexp_extract_all({0}, {1}, {2})"},
@@ -276,9 +276,9 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     "json_deserialize": "try_parse_json({0})",
     "json_parse": "try_parse_json({0})",
     # aggregates
-    "list": "collect_list({0})",
-    "list_agg": "collect_list({0})",
-    "array_agg": "collect_list({0})",
+    "list": "transform(collect_list(struct({0} as v)), s -> s.v)",
+    "list_agg": "transform(collect_list(struct({0} as v)), s -> s.v)",
+    "array_agg": "transform(collect_list(struct({0} as v)), s -> s.v)",
     "string_agg": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"},
     "group_concat": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"},
     # Signs and zeros are counted apart from the sum of logarithms.

@@ -48,6 +48,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: st
     part of all rows; the right side, small per key, is repeated. how: inner, left or left_semi or left_anti."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    a = left.withColumn("__salt", (F.rand(0) * salts).cast("int"))
+    # Of the row itself, so that a task that is run again deals its rows as before.
+    a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return a.join(b, [key, "__salt"], how).drop("__salt")

@@ -16,6 +16,8 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: in
     written to the session's checkpoint folder, so neither the plan nor recomputation grows with the rounds."""
     context = base.sparkSession.sparkContext
     if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     new = base.distinct().checkpoint()
     seen = new

@@ -13,12 +13,15 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DayTimeIntervalType
 
 from millrace.functions import udfs
 from millrace.operators.joins import asof_join
-from millrace.plans.dialect import Group, Rewriter, Word, key, split, statements
+from millrace.operators.recursion import fixpoint
+from millrace.plans.dialect import CLAUSES, Group, Rewriter, Word, bare, calls, clauses, key, split, statements
 from millrace.sources import files
 
 NO_EFFECT = ("begin", "start", "commit", "rollback", "savepoint", "release", "pragma", "set", "reset", "analyze", "checkpoint", "vacuum")
@@ -50,6 +53,18 @@ class Sequence:
         return value
 
 
+#: Words that can follow a table without being its alias.
+ENDS = frozenset("where group having window qualify order limit offset join left right full inner cross natural semi anti asof on using union intersect except set values select pivot unpivot lateral default".split())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables are kept: spark.checkpoint.dir, or a folder of this machine if it is the only one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="millrace-db-")
+
+
 class Result:
     """What a statement returned, as a lazy DataFrame with the usual helpers."""
 
@@ -86,7 +101,8 @@ class Result:
 class Engine:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.tables, self.sequences, self.indexes = spark, {}, {}, {}
-        self.folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-db-")
+        self.schemas, self.views = set(), set()
+        self.folder = folder or shared_folder(spark)
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
         spark.conf.set("spark.sql.timeType.enabled", "true")
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
@@ -97,6 +113,7 @@ class Engine:
         """Parquet tables of a folder, by name. Plain scans: filters and columns reach the files."""
         for name in names:
             self.spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+            self.views.add(name)
         return self
 
     # statements
@@ -125,7 +142,122 @@ class Engine:
         return self.spark.createDataFrame([(text,)], "result string")
 
     def _query(self, items: list) -> DataFrame:
-        return self._plan(Rewriter(self._file, self._asof).query(self._sequenced(items)))
+        items = self._unqualified(items)
+        if len(items) > 1 and key(items[1]) == "recursive" and (found := self._recursive(items)) is not None:
+            return found
+        items = self._sequenced(self._per_row(items))
+        temporal: set[str] = set()
+        while True:  # what is a date or a time is known to the planner only, which names one expression at a time
+            try:
+                df = self._plan(text := Rewriter(self._file, self._asof, frozenset(temporal)).query(items))
+                break
+            except AnalysisException as error:
+                found = re.search(r'"avg\((.*?)\)" due to data type mismatch.*has the type "(?:DATE|TIMESTAMP|TIMESTAMP_NTZ)"', str(error), re.S)
+                if not found or bare(found[1]) in temporal:
+                    raise
+                temporal.add(bare(found[1]))
+        days = DayTimeIntervalType(DayTimeIntervalType.DAY, DayTimeIntervalType.DAY)
+        if "interval" in text.lower() or all(f.dataType != days for f in df.schema):
+            return df
+        # Differences of dates are numbers.
+        return df.select(*[F.expr(f"cast(extract(DAY FROM `{f.name}`) as bigint)").alias(f.name) if f.dataType == days else F.col(f"`{f.name}`") for f in df.schema])
+
+    def _unqualified(self, items: list) -> list:
+        """Tables of schemas by the names that they have as views, with their own names as aliases."""
+        out, i = [], 0
+        while i < len(items):
+            x = items[i]
+            if isinstance(x, Group):
+                out.append(Group(x.open, self._unqualified(x.items)))
+            elif i + 2 < len(items) and key(items[i + 1]) == "." and key(x) in (*self.schemas, "main") and isinstance(items[i + 2], Word):
+                name, after = items[i + 2], items[i + 3] if i + 3 < len(items) else None
+                if key(after) == "." or key(x) == "main":  # a column by its table, or a table of the plain schema
+                    out.append(name)
+                else:
+                    out.append(Word(f"{key(x)}__{key(name)}", "w"))
+                    if not (isinstance(after, Word) and (key(after) == "as" or after.kind == "w" and key(after) not in ENDS)):
+                        out += [Word("AS", "w"), name]
+                i += 2
+            else:
+                out.append(x)
+            i += 1
+        return out
+
+    def _recursive(self, items: list) -> DataFrame | None:
+        """WITH RECURSIVE r AS (a UNION b): rounds until no row is new. None if no part of the kind is there."""
+        stop = next(i for i, x in enumerate(items) if key(x) in ("select", "values", "from"))
+        parts = split(items[2:stop], ",")
+        for part in parts:
+            name, body = key(part[0]), part[-1].items
+            at = next((i for i, x in enumerate(body) if key(x) == "union" and key(body[i + 1]) != "all"), None)
+            if at is None or not _refers(body[at:], name):
+                continue
+            rest = [p for p in parts if p is not part]
+            before = [Word("WITH", "w"), *[x for n, p in enumerate(rest) for x in ([Word(",", "o")] if n else []) + p]] if rest else []
+            base = self._query([*before, *body[:at]])
+            if isinstance(part[1], Group):
+                base = base.toDF(*[x.text for x in part[1].items if key(x) != ","])
+            fields, step_items = base.schema.fields, body[at + (2 if key(body[at + 1]) == "distinct" else 1) :]
+
+            def step(new: DataFrame, before=before, fields=fields, step_items=step_items, name=name) -> DataFrame:
+                found = self._query([*before, *_renamed(step_items, name, self._view(new))])
+                return found.toDF(*[f.name for f in fields]).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in fields])
+
+            done = self._view(fixpoint(base, step))
+            return self._query([*before, *_renamed(items[stop:], name, done)])
+        return None
+
+    def _view(self, df: DataFrame) -> str:
+        view = f"rows_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        return view
+
+    def _per_row(self, items: list) -> list:
+        """nextval over the rows of a table: its rows are numbered, and the sequence goes on after the last one."""
+        if not items or key(items[0]) != "select":
+            return items
+        c = clauses(items)
+        wanted = calls(c["select"], ("nextval",))
+        if not wanted or "from" not in c:
+            return items
+        source = c["from"]
+        if isinstance(source[0], Group) or any(not isinstance(x, Word) for x in source[1:]) or len(source) > 3:
+            raise ValueError("nextval goes over the rows of one table; put a join into a view")
+        where = [Word("WHERE", "w"), *c["where"]] if "where" in c else []
+        rows = self._query([Word("SELECT", "w"), Word("*", "o"), Word("FROM", "w"), *source, *where])
+        path = f"{self.folder}/numbered-{uuid.uuid4().hex}"
+        rows.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+        kept = self.spark.read.parquet(path)
+        part = F.shiftright("__id", 33)
+        before, places = 0, []
+        for p, n in sorted(kept.groupBy(part).agg(F.count(F.lit(1))).collect()):  # a row for each task
+            places.append((p, before))
+            before += n
+        offsets = self.spark.createDataFrame(places, "__p long, __b long")
+        numbered = kept.join(F.broadcast(offsets), part == F.col("__p")).withColumn("__row", F.col("__b") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__p", "__b")
+        first = {}
+        for name in {g.items[0].text.strip("'").lower() for g in wanted} if before else ():
+            s = self.sequences[name]
+            first[name] = s.next()
+            s.last += s.step * (before - 1)
+            if s.high is not None and s.last > s.high or s.low is not None and s.last < s.low:
+                raise ValueError("the sequence has reached its end")
+
+        def valued(items: list) -> list:
+            out: list = []
+            for i, x in enumerate(items):
+                if isinstance(x, Group) and i and key(items[i - 1]) == "nextval":
+                    name = x.items[0].text.strip("'").lower()
+                    out[-1] = Word(f"({first.get(name, 0)} + {self.sequences[name].step} * __row)", "n")
+                else:
+                    out.append(Group(x.open, valued(x.items)) if isinstance(x, Group) else x)
+            return out
+
+        chosen = valued(c["select"])
+        if key(chosen[0]) == "*":
+            chosen[1:1] = [Word("EXCLUDE", "w"), Group("(", [Word("__row", "w")])]
+        c = c | {"select": chosen, "from": [Word(self._view(numbered), "w"), Word("AS", "w"), source[-1]]}
+        return [y for k, v in c.items() if k != "where" for y in [*[Word(w, "w") for w in k.split()], *v]]
 
     def _run(self, items: list) -> DataFrame:
         first, second = key(items[0]), key(items[1]) if len(items) > 1 else ""
@@ -219,7 +351,12 @@ class Engine:
     # tables
 
     def _name(self, items: list) -> str:
-        return [x for x in items if isinstance(x, Word) and x.kind in "wq"][-1].text.strip('"').lower()
+        words = [x.text.strip('"').lower() for x in items if isinstance(x, Word) and x.kind in "wq"]
+        if len(words) > 1 and any(key(x) == "." for x in items) and words[-2] not in ("main", "memory"):
+            if words[-2] not in self.schemas:
+                raise ValueError(f"schema {words[-2]} isn't there")
+            return f"{words[-2]}__{words[-1]}"
+        return words[-1]
 
     def _register(self, name: str, table: Table) -> None:
         self.tables[name] = table
@@ -244,13 +381,16 @@ class Engine:
         stop = next((i for i, x in enumerate(items) if isinstance(x, Group) or key(x) in ("as", "on", "start", "increment", "minvalue", "maxvalue", "cycle", "no")), len(items))
         name, rest = self._name(items[:stop]), items[stop:]
         if kind == "schema":
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+            if name in self.schemas and not exists:
+                raise ValueError(f"schema {name} exists")
+            self.schemas.add(name)
         elif kind == "view":
             body = next(i for i, x in enumerate(rest) if key(x) == "as")
             df = self._query(rest[body + 1 :])
             if isinstance(rest[0], Group):
                 df = df.toDF(*[x.text for x in rest[0].items if key(x) != ","])
             df.createOrReplaceTempView(name)
+            self.views.add(name)
         elif kind == "sequence":
             s, text = Sequence(), " ".join(x.text.lower() for x in rest)
             for attribute, pattern in (("start", r"start(?: with)? (- )?(\d+)"), ("step", r"increment(?: by)? (- )?(\d+)"), ("low", r"(?<!no )minvalue (- )?(\d+)"), ("high", r"(?<!no )maxvalue (- )?(\d+)")):
@@ -285,14 +425,24 @@ class Engine:
         return self._message(f"created {name}")
 
     def _drop(self, items: list) -> DataFrame:
-        kind, name = key(items[0]), self._name([x for x in items if key(x) not in ("cascade", "restrict")])
-        if kind in ("table", "view"):
-            self.tables.pop(name, None)
+        kind, words = key(items[0]), [key(x) for x in items]
+        rest = [x for x in items[1:] if key(x) not in ("cascade", "restrict", "if", "exists")]
+        name = self._name(rest)
+        there = {"table": self.tables, "view": self.views, "schema": self.schemas, "sequence": self.sequences, "index": self.indexes}[kind]
+        if name not in there:
+            if "exists" not in words:
+                raise ValueError(f"{kind} {name} isn't there")
+            return self._message(f"no {name}")
+        if kind == "schema":
+            inside = [t for t in self.tables if t.startswith(f"{name}__")]
+            if inside and "cascade" not in words:
+                raise ValueError(f"schema {name} has tables")
+            for t in inside:
+                self.tables.pop(t)
+                self.spark.catalog.dropTempView(t)
+        elif kind in ("table", "view"):
             self.spark.catalog.dropTempView(name)
-        elif kind == "schema":
-            self.spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
-        else:
-            (self.sequences if kind == "sequence" else self.indexes).pop(name, None)
+        there.discard(name) if isinstance(there, set) else there.pop(name)
         return self._message(f"dropped {name}")
 
     def _count(self, n: int) -> DataFrame:
@@ -308,6 +458,15 @@ class Engine:
             given, rest = [x.text.strip('"').lower() for x in rest[0].items if key(x) != ","], rest[1:]
             if unknown := set(given) - {c.lower() for c in columns}:
                 raise ValueError(f"{name} has no column {sorted(unknown)[0]}")
+        if key(rest[0]) == "values":  # DEFAULT stands for its column's
+
+            def filled(x):
+                if not isinstance(x, Group):
+                    return x
+                parts = [[Word(f"({table.defaults.get(given[n].lower(), 'null')})", "n")] if [key(y) for y in part] == ["default"] else part for n, part in enumerate(split(x.items, ","))]
+                return Group(x.open, [y for n, part in enumerate(parts) for y in ([Word(",", "o")] if n else []) + part])
+
+            rest = [filled(x) for x in rest]
         rows = self._query(rest)
         rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
         at = {c.lower(): f"c{i}" for i, c in enumerate(given)}
@@ -383,7 +542,8 @@ class Engine:
         if key(items[at]) == "to":
             df = self._query(items[0].items) if isinstance(items[0], Group) else self.spark.table(self._name(items[:1]))
             files.write(df, path, kind, options)
-            return self._count(df.count())
+            back = files.read(self.spark, path, kind, options)  # what was written is counted, the query runs once
+            return self._count(back.count())
         name = self._name([items[0]])
         table, fields = self.tables[name], self._frame(name).schema
         new = files.read(self.spark, path, kind, options, fields if (kind or "csv") == "csv" and not path.endswith(".parquet") else None)
@@ -412,4 +572,25 @@ class Engine:
     open = load
 
 
+def _refers(items: list, name: str) -> bool:
+    return any(_refers(x.items, name) if isinstance(x, Group) else key(x) == name for x in items)
+
+
+def _renamed(items: list, name: str, view: str) -> list:
+    """References to a table by another name, under the old one as an alias."""
+    out, source = [], False
+    for i, x in enumerate(items):
+        if isinstance(x, Group):
+            out.append(Group(x.open, _renamed(x.items, name, view)))
+            continue
+        k, after = key(x), items[i + 1] if i + 1 < len(items) else None
+        source = k == "from" or source and k not in CLAUSES and k not in ("group", "order")
+        if k == name and source and key(items[i - 1]) in ("from", "join", ",") and key(after) != ".":
+            alias = isinstance(after, Word) and (key(after) == "as" or after.kind == "w" and key(after) not in ENDS)
+            out += [Word(view, "w"), *([] if alias else [Word("AS", "w"), x])]
+        else:
+            out.append(x)
+    return out
+
+
 __all__ = ["Engine", "Result"]

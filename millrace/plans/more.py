@@ -93,8 +93,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS s, length(string_agg(o_orderstatus, ',')) AS g FROM orders",
     ),
     "agg_avg_temporal": (
-        "SELECT o_orderstatus, avg(epoch(o_orderdate)) AS a FROM orders GROUP BY o_orderstatus",
-        "SELECT o_orderstatus, avg(epoch(o_orderdate)) AS a FROM orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, avg(o_orderdate) AS a, avg(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, avg(o_orderdate) AS a, avg(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY o_orderstatus",
     ),
     "agg_kurtosis_pop": (
         "SELECT l_returnflag, round(kurtosis_pop(l_extendedprice), 6) AS k FROM lineitem GROUP BY l_returnflag",
@@ -129,7 +129,7 @@ SCRIPTS: dict[str, tuple[str, str]] = {
 }
 
 
-def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def run_script(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Engine(spark).attach(sf_dir, named(sql)).execute_batch(sql)[-1].df
 
@@ -222,5 +222,5 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
 }
 
-QUERIES = {n: _run(p[0]) for n, p in (PAIRS | SCRIPTS).items()} | {n: f for n, (f, _) in FRAMES.items()}
+QUERIES = {n: run_script(p[0]) for n, p in (PAIRS | SCRIPTS).items()} | {n: f for n, (f, _) in FRAMES.items()}
 ORACLE = {n: p[1] for n, p in (PAIRS | SCRIPTS).items()} | {n: sql for n, (_, sql) in FRAMES.items() if sql}

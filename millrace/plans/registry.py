@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("tpch", "catalog", "more")
+MODULES: tuple[str, ...] = ("tpch", "catalog", "more", "semantics")
 
 
 def _gather(attribute: str) -> dict:

@@ -1,8 +1,9 @@
 import pytest
 
+from millrace.__main__ import loop
 from millrace.functions import templates
 from millrace.operators import aggregates, joins
-from millrace.plans.dialect import rewrite
+from millrace.plans.dialect import Rewriter, rewrite, statements
 from millrace.plans.engine import Engine
 
 
@@ -70,3 +71,26 @@ def test_filters_reach_the_scan(spark):
     plan = e.query_value("EXPLAIN SELECT l_orderkey FROM lineitem WHERE l_quantity > 49")
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_prompt(spark):
+    said = []
+    loop(Engine(spark), ["CREATE TABLE t (a INTEGER);", "INSERT INTO t", "VALUES (5);", "SELECT nosuch FROM t;", "SELECT a + 1 AS b FROM t;", ".tables", ".quit", "SELECT 1;"], said.append)
+    assert len(said) == 5 and said[2].startswith("error: ") and said[3].split() == ["b", "-", "6"] and said[4] == "t"
+
+
+def test_what_is_not_there_is_an_error(spark):
+    db = Engine(spark)
+    for text in ("DROP TABLE nosuch", "DROP VIEW nosuch", "CREATE TABLE s9.t (a INTEGER)", "SELECT * FROM range(3) POSITIONAL JOIN range(4)"):
+        with pytest.raises(ValueError):
+            db.sql(text)
+    db.execute_batch("DROP TABLE IF EXISTS nosuch; CREATE SCHEMA s9; CREATE TABLE s9.t (a INTEGER)")
+    with pytest.raises(ValueError):
+        db.sql("DROP SCHEMA s9")
+    db.sql("DROP SCHEMA s9 CASCADE")
+    assert not db.tables
+
+
+def test_histogram_counts_before_it_gathers(spark):
+    text = Rewriter().query(statements("SELECT k % 2 AS o, histogram(v) AS h FROM t GROUP BY k % 2 ORDER BY o")[0])
+    assert "count(*) AS __n" in text and text.count("GROUP BY") == 2

@@ -2,9 +2,10 @@
 
 Entities are found by one pattern. Each gets a surrogate of its own type, made of itself and a key by a Feistel network
 on its characters: a digit stays a digit, a vowel a vowel of its case and script, marks stay, and so on by type; card
-numbers keep their check digit true, addresses of hosts stay in range, given names that are known are exchanged
+numbers and accounts keep their check digits true, addresses of hosts stay in range, given names that are known are exchanged
 within their gender. For a key this maps the strings of a format one to one, so one entity has the same surrogate
-everywhere (coreference) and different entities have different ones (distinctness), without a table of all entities.
+everywhere (coreference; spellings of one telephone, card or account number differ in their marks and spaces only, which
+stay where they were) and different entities have different ones (distinctness), without a table of all entities.
 The network is run forth, one character is moved on, and the network is run back: so nothing that has a character that
 can move stays what it was. Letters of every script have an alphabet or a run of code points.
 That is checked: if two entities still share a surrogate, or one stays what it was though a character of it can move,
@@ -204,19 +205,43 @@ def _card(x: Column, key: str) -> Column:
         off = F.pmod(F.right(digits, F.lit(1)).cast("int") - _luhn(body), F.lit(10))
         return bound(new, lambda n: F.concat(n, F.pmod(_luhn(n) + off, F.lit(10)).cast("string")))
 
-    def spread(d: Column) -> Column:
-        """The digits put back where digits stood."""
-        chars = F.array_remove(F.split(x, ""), "")
-        return F.aggregate(
-            chars,
-            F.struct(F.lit("").alias("out"), F.lit(1).alias("next")),
-            lambda s, c: F.when(F.instr(F.lit("0123456789"), c) > 0, F.struct(F.concat(s["out"], F.substring(d, s["next"], F.lit(1))).alias("out"), (s["next"] + 1).alias("next"))).otherwise(
-                F.struct(F.concat(s["out"], c).alias("out"), s["next"].alias("next"))
-            ),
-            lambda s: s["out"],
-        )
+    return bound(made(F.regexp_replace(x, "[^0-9]", "")), lambda d: _spread(x, d, "[0-9]"))
 
-    return bound(made(F.regexp_replace(x, "[^0-9]", "")), spread)
+
+def _spread(x: Column, new: Column, sign: str) -> Column:
+    """The characters of ``new`` put back where characters like ``sign`` stood in x."""
+    begun = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+
+    def step(s: Column, c: Column) -> Column:
+        own = c.rlike(f"^{sign}$")
+        return F.struct(F.concat(s["out"], F.when(own, F.substring(new, s["next"], F.lit(1))).otherwise(c)).alias("out"), (s["next"] + own.cast("int")).alias("next"))
+
+    return F.aggregate(_chars(x), begun, step, lambda s: s["out"])
+
+
+def _phone(x: Column, key: str) -> Column:
+    """The digits after a country's prefix are permuted, whatever stands between them."""
+    changed = lambda t: bound(permuted(F.regexp_replace(t, "[^0-9]", ""), key, "phone", DIGITS), lambda d: _spread(t, d, "[0-9]"))
+    return _kept(x, r"^(?:\+\d{1,3}(?=[ .(-]))?", changed)
+
+
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits that an account number asks for: 98 less the rest by 97, letters as 10 to 35."""
+    value = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55)
+    return 98 - F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0), lambda a, c: F.pmod(value(a, c), F.lit(97)).cast("int"))
+
+
+def _iban(x: Column, key: str) -> Column:
+    """The country stays, the account is permuted, and the check digits are as far off the true ones as they were."""
+
+    def made(parts: Column) -> Column:
+        country, check, body = parts["country"], parts["check"], parts["body"]
+        digits = lambda n: F.lpad(F.pmod(check + _iban_check(country, n) - _iban_check(country, body), F.lit(100)).cast("string"), 2, "0")
+        return bound(permuted(body, key, "iban", PLAIN), lambda n: F.concat(country, digits(n), n))
+
+    plain = F.replace(x, F.lit(" "), F.lit(""))
+    parts = F.struct(F.substring(plain, 1, 2).alias("country"), F.substring(plain, 3, 2).cast("int").alias("check"), F.substring(plain, F.lit(5), F.length(x)).alias("body"))
+    return bound(bound(parts, made), lambda n: _spread(x, n, "[A-Z0-9]"))
 
 
 def _host(x: Column, key: str) -> Column:
@@ -266,10 +291,10 @@ def surrogate(x: Column, key: str) -> Column:
         .when(x.rlike(secret), plain("secret", secret))
         .when(x.rlike(f"^(?:{ACCESS})$"), plain("access", "^AKIA", CAPITAL))
         .when(x.rlike(f"^(?:{IP})$"), _host(x, key))
-        .when(x.rlike(f"^(?:{PHONE})$"), plain("phone", r"^(?:\+\d{1,3}(?=[ .(-]))?", DIGITS))
+        .when(x.rlike(f"^(?:{PHONE})$"), _phone(x, key))
         .when(x.rlike(f"^(?:{SSN})$"), plain("ssn", "^", DIGITS))
         .when(x.rlike(f"^(?:{CARD})$"), _card(x, key))
-        .when(x.rlike(f"^(?:{IBAN})$"), plain("iban", "^[A-Z]{2}"))
+        .when(x.rlike(f"^(?:{IBAN})$"), _iban(x, key))
         .otherwise(_person(x, key))
     )
 

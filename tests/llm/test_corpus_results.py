@@ -199,10 +199,21 @@ def test_surrogates_keep_form(spark):
     card = [int(c) for c in a["4111 1111 1111 1111"] if c != " "]
     assert sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(card)) % 10 == 0
     assert all(0 <= int(x) < 256 for x in a["78.118.65.158"].split("."))
-    assert all(len(a[x]) == len(x) for x in a if not x.startswith("Mr"))
+    assert all(len(a[x]) == len(x) for x in a if not x.startswith(("Mr", "78.")))
     assert max(row, key=lambda r: r["doc_id"])["n_entities"] == 0
 
 
+def test_spellings_of_one_number_stay_one(spark):
+    texts = ["call 555-123-4567 or (555) 123-4567 or 555.123.4567 now", "GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB00WEST12345698765432", "4111 1111 1111 1111 and 4111-1111-1111-1111"]
+    made = {r["doc_id"]: r["surrogates"] for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    plain = {k: ["".join(c for c in x if c.isalnum()) for x in v] for k, v in made.items()}
+    assert len(plain[0]) == 3 and len(set(plain[0])) == 1 and plain[0][0] != "5551234567"
+    assert len(plain[1]) == 2 and len(set(plain[1])) == 1 and len(set(plain[4])) == 1
+    true = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert true(plain[1][0]) and true(plain[2][0]) and not true(plain[3][0]) and plain[3][0][4:] == plain[1][0][4:]
+    assert plain[1][0][:2] == "GB" and plain[2][0][:2] == "DE" and plain[1][0] != "GB82WEST12345698765432"
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))

@@ -32,7 +32,9 @@ WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 82
 UNEVEN = re.compile(f"[\0{WHITE[0]}{WHITE[2:5]}{WHITE[6:]}]|[ \n][ \n]|^[ \n.,]|[ \n]\\Z|[^\\w][.,]|_[.,]")
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Entries that a worker keeps at most; then it starts anew.
-KEPT = 600_000
+KEPT = 200_000
+#: Rows whose results a worker holds at a time.
+ROWS = 1000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -59,6 +61,11 @@ class Vocabulary:
         self.prefixes: dict[bytes, int] = {}
         self.lengths = [len(x) for x in self.bytes_of]
 
+    def forget(self) -> None:
+        """Drops what was kept, so that a worker that goes on to other work doesn't hold it."""
+        for kept in (self.pairs, self.chunks, self.prefixes):
+            kept.clear()
+
     def merged(self, data: bytes) -> list[int]:
         """The definition: merges of lowest rank first. Used for a token or a pair only."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
@@ -75,7 +82,7 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right may follow left; left -1: whether right may begin."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 2 * KEPT:
             self.pairs.clear()
         both = [right] if left < 0 else [left, right]
         known = self.pairs[left << 24 | right] = self.merged(b"".join(self.bytes_of[t] for t in both)) == both
@@ -237,25 +244,30 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, outputs: Itera
     outputs, spark = tuple(outputs), docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
 
+    def encoded(vocabulary: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict[str, list] = {k: [] for k in outputs}
+        for x in batch.column(batch.num_columns - 1):
+            ids = vocabulary.encode(x.as_py() or "")
+            for k in outputs:
+                if k == "ids":
+                    found[k].append(ids)
+                elif k == "n_tokens":
+                    found[k].append(len(ids) // 4)
+                elif k == "ids_sha256":
+                    found[k].append(hashlib.sha256(ids).hexdigest())
+                else:
+                    plain = vocabulary.decode(ids)
+                    found[k].append(plain if k == "decoded" else hashlib.sha256(plain).hexdigest())
+        kept = [batch.column(i) for i in range(len(carry))]
+        made = [pa.array(found[k], {"ids": pa.binary(), "decoded": pa.binary()}.get(k, OUTPUTS[k])) for k in outputs]
+        return pa.RecordBatch.from_arrays(kept + made, [f"c{i}" for i in range(len(kept) + len(made))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(shared.value, pattern)
         for batch in batches:
-            found: dict[str, list] = {k: [] for k in outputs}
-            for x in batch.column(batch.num_columns - 1):
-                ids = vocabulary.encode(x.as_py() or "")
-                for k in outputs:
-                    if k == "ids":
-                        found[k].append(ids)
-                    elif k == "n_tokens":
-                        found[k].append(len(ids) // 4)
-                    elif k == "ids_sha256":
-                        found[k].append(hashlib.sha256(ids).hexdigest())
-                    else:
-                        plain = vocabulary.decode(ids)
-                        found[k].append(plain if k == "decoded" else hashlib.sha256(plain).hexdigest())
-            kept = [batch.column(i) for i in range(len(carry))]
-            made = [pa.array(found[k], {"ids": pa.binary(), "decoded": pa.binary()}.get(k, OUTPUTS[k])) for k in outputs]
-            yield pa.RecordBatch.from_arrays(kept + made, [f"c{i}" for i in range(len(kept) + len(made))])
+            for low in range(0, batch.num_rows, ROWS):  # so that only some rows' ids are held at a time
+                yield encoded(vocabulary, batch.slice(low, ROWS))
+        vocabulary.forget()
 
     types = [docs.schema[c].dataType.simpleString() for c in carry] + [SQL_TYPES[k] for k in outputs]
     out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text_in")).mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types)))

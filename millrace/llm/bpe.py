@@ -61,11 +61,6 @@ class Vocabulary:
         self.prefixes: dict[bytes, int] = {}
         self.lengths = [len(x) for x in self.bytes_of]
 
-    def forget(self) -> None:
-        """Drops what was kept, so that a worker that goes on to other work doesn't hold it."""
-        for kept in (self.pairs, self.chunks, self.prefixes):
-            kept.clear()
-
     def merged(self, data: bytes) -> list[int]:
         """The definition: merges of lowest rank first. Used for a token or a pair only."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
@@ -267,7 +262,6 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, outputs: Itera
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):  # so that only some rows' ids are held at a time
                 yield encoded(vocabulary, batch.slice(low, ROWS))
-        vocabulary.forget()
 
     types = [docs.schema[c].dataType.simpleString() for c in carry] + [SQL_TYPES[k] for k in outputs]
     out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text_in")).mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types)))

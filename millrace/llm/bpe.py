@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import held
+
 #: Unicode white space, which never stands inside a piece but at its start.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
 #: What keeps a text from being cut by plain replacement: other white space or two in a row, and stops or commas
@@ -114,7 +116,7 @@ class Vocabulary:
         while seen and data[:seen] not in prefixes:
             seen -= 1
         if seen < size:
-            if len(prefixes) > 2 * KEPT:
+            if len(prefixes) > KEPT:
                 prefixes.clear()
                 seen = 0
             last = [-1, *[prefixes[data[:i]] for i in range(1, seen + 1)]]
@@ -153,16 +155,20 @@ class Vocabulary:
 
 
 class _Kept(dict):
-    """Results by text, of texts up to a length."""
+    """Results by text, of texts up to a length. Once half of KEPT are new, those that were not met again since the last
+    time are let go, so that frequent ones stay."""
 
     def __init__(self, make, longest: int):
         super().__init__()
-        self.make, self.longest = make, longest
+        self.make, self.longest, self.before = make, longest, {}
 
     def __missing__(self, key: str):
-        made = self.make(key)
+        made = self.before.get(key)
+        if made is None:
+            made = self.make(key)
         if len(key) <= self.longest:
-            if len(self) > KEPT:
+            if len(self) >= KEPT // 2:
+                self.before = dict(self)
                 self.clear()
             self[key] = made
         return made
@@ -214,16 +220,13 @@ class PrefixTable:
         return walked(self.last, self.vocabulary.bytes_of)
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def loaded(data: bytes, pattern: str) -> Vocabulary:
-    """One vocabulary per worker process, kept between tasks."""
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(read_ranks(data), pattern)
-    return _LOADED[key]
+    """One vocabulary per worker process, kept between tasks until another operator's begin."""
+    key, kept = hashlib.sha256(data + pattern.encode()).hexdigest(), held("bpe")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Vocabulary(read_ranks(data), pattern)
+    return kept[key]
 
 
 #: What encode_documents can return besides the columns it carries.

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,17 @@ def words(text: Column) -> Column:
 def join_small(left: DataFrame, right: DataFrame, on: Column, how: str, rows: int, limit: int = 100_000) -> DataFrame:
     """Broadcasts ``right`` only if its counted ``rows`` are at most ``limit``; else both sides are shuffled."""
     return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), on, how)
+
+
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What a Python worker keeps between the tasks of an operator. Spark uses workers again, so what another operator
+    kept in this one goes, or its memory would be missing for as long as the worker lives."""
+    others = [x for x in _HELD if x != operator]
+    for x in others:
+        _HELD.pop(x).clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+    return _HELD.setdefault(operator, {})

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, table, words
+from millrace.llm.common import held, stored, table, words
 
 BLOCK = 512
 SHARD = 1024
@@ -178,14 +178,15 @@ def slots_of(spark: SparkSession, plan: list[dict], block: int = BLOCK, shard: i
     """Rows (shard, slot, number, turn, block, words): which block fills each slot of each shard, cut to ``words``."""
     totals = np.array([p["slots"] for p in plan], np.int64)
     shards = max(1, -(-int(totals.sum()) // shard))
-    held = spark.sparkContext.broadcast(plan)
+    shared = spark.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("mixing")
         for batch in batches:
             for s in batch["id"]:
                 start, count = shard_draw(totals, shards, shard, int(s), seed)
                 parts = []
-                for p, a, c in zip(held.value, start, count, strict=True):
+                for p, a, c in zip(shared.value, start, count, strict=True):
                     if not c:
                         continue
                     k = np.arange(a, a + c)
@@ -237,9 +238,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_of(rows)
     taken = mixture(rows, plan).groupBy("number", "first").agg(F.sum("n_words").alias("taken"))
     ids = light.select(F.col("__row").alias("row"), "doc_id")
-    held = with_plan(rows, "source", plan, ("number", "size", "target")).join(ids, "row")
+    own = with_plan(rows, "source", plan, ("number", "size", "target")).join(ids, "row")
     # A document without words shares its place with the next one, and takes nothing.
-    joined = held.withColumn("n", F.when(F.col("size") > 0, F.col("number"))).join(taken.withColumnRenamed("number", "n"), ["n", "first"], "left")
+    joined = own.withColumn("n", F.when(F.col("size") > 0, F.col("number"))).join(taken.withColumnRenamed("number", "n"), ["n", "first"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

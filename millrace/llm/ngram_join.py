@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_small, stored, table
+from millrace.llm.common import held, join_small, stored, table
 from millrace.llm.components import components
 
 WORDS = 4
@@ -112,16 +112,17 @@ def posted(values: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: in
 
 def _set_rows(docs: DataFrame, often, size: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, posts, bits) for each row."""
-    held = docs.sparkSession.sparkContext.broadcast(often)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("ngram_join")
         for batch in batches:
             n, keys, posts, bits = [], [], [], []
             for x in batch.column(1):
                 s = shingles(x.as_py(), size)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                posts.append(posted(s, held.value, percent).view(np.int64) if len(s) else [])
+                posts.append(posted(s, shared.value, percent).view(np.int64) if len(s) else [])
                 bits.append(bitmap(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_key", "posts", "bits"])
 
@@ -133,6 +134,7 @@ def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarr
     every = max(1, docs.count() // sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("ngram_join")
         for batch in batches:
             found = [shingles(x, size) for x in batch["t"]]
             values, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), [])

@@ -1,11 +1,14 @@
 """A hidden Markov model of words, and the exact likelihood of texts by it.
 
-Tokens are the words of a text in lower case and one end. The model's symbols are the HEAD words that come most often
-in the training rows, one symbol for all other words, and the end; a word without a symbol of its own has its share of
-that symbol's probability, by the counts of all training words. States are trained by Baum-Welch: every partition adds
-up the expected counts of its texts, the counts are aggregated by symbol, and new probabilities are made of them. The
-start is a model fitted to a bounded sample; every round is over all training rows. Emissions are smoothed towards the
-base distribution, so every word, known or not, has a probability and those of all words and one unknown sum to 1.
+Tokens are the words of a text in lower case and one end. Every training word has emissions of its own. Those of the
+HEAD words that come most often are held in memory; those of all others are a table, joined to the texts by word.
+States are trained by Baum-Welch: every partition adds up the expected counts of its texts, the counts are aggregated by
+word, and new probabilities are made of them. First each text has one state, drawn by a hash of its text; rounds over
+growing fixed shares of the training rows follow, the last ones over all of them. In the rounds the words of the table
+share their emissions by their counts; the last round gathers the expected counts of each of them too. A word's shares of
+the states are kept in a byte each, and the emissions are made of these, so that they sum to 1 all the same.
+Emissions are smoothed towards the base distribution, so every word, known or not, has a probability and those of all
+words and one unknown sum to 1.
 
 Texts are scored by the scaled forward recursion, exactly, whatever their length.
 
@@ -16,25 +19,24 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, table
 
+#: At most 8, a byte each of a whole number of 64 bits.
 STATES = 8
-#: Words with symbols of their own; with the two others they fit 16 bits.
+#: Words whose emissions are held in memory; with the two other symbols they fit 16 bits.
 HEAD = 65_534
-ROUNDS = 2
-#: Training rows that the start is fitted to, and its rounds.
-SAMPLE = 1500
-START_ROUNDS = 15
+#: Rounds of Baum-Welch: over one of so many training rows, how often.
+ROUNDS = ((16, 6), (4, 3), (1, 2))
 #: Weight of the base distribution in each state's emissions, in tokens.
 SMOOTH = 100.0
 TOKENS = 300_000
@@ -158,19 +160,104 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def started(texts: list[np.ndarray], base: np.ndarray, states: int, rounds: int, seed: int = 0) -> Model:
-    """A model of a few texts: each text begins in a state drawn at random, rounds of Baum-Welch follow."""
-    rng = np.random.default_rng(seed)
-    emit = np.zeros((len(base), states))
+def assigned(texts: list[np.ndarray], symbols: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts before the first round: each text has one state, by a hash of its symbols."""
+    emitted = np.zeros((symbols, states))
     for t in texts:
-        emit[:, rng.integers(states)] += np.bincount(t, minlength=len(base))
-    model = Model.of(np.ones(states), np.eye(states) * 100, emit, base)
-    for _ in range(rounds if texts else 0):
-        model = Model.of(*expected(model, texts, len(base)), base)
-    return model
+        emitted[:, zlib.crc32(t.tobytes()) % states] += np.bincount(t, minlength=symbols)
+    return np.ones(states), np.eye(states) * 100, emitted
 
 
-def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD) -> DataFrame:
+def grouped(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of rows with TOKENS tokens at most, or one row, and their symbols (column number ``symbols``)."""
+    texts = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(symbols)]
+    low = size = 0
+    for i, t in enumerate(texts):
+        if i > low and size + len(t) > TOKENS:
+            yield batch.slice(low, i - low), texts[low:i]
+            low, size = i, 0
+        size += len(t)
+    if texts:
+        yield batch.slice(low), texts[low:]
+
+
+def with_own(texts: list[np.ndarray], other: int, own: np.ndarray) -> list[np.ndarray]:
+    """The texts with the symbols ``own`` in place of ``other``, in the order of the texts."""
+    flat = np.concatenate(texts).astype(np.int64)
+    flat[flat == other] = own
+    return np.split(flat, np.cumsum([len(t) for t in texts])[:-1])
+
+
+def byte_of(packed: Column, state: int) -> Column:
+    return F.shiftrightunsigned(packed, 8 * state).bitwiseAND(F.lit(255).cast("long"))
+
+
+def packed_shares(shares: np.ndarray) -> np.ndarray:
+    """Shares of the states (words x states, each row sums to 1) in a byte each."""
+    out = np.zeros((len(shares), 8), np.uint8)
+    out[:, : shares.shape[1]] = np.rint(255 * shares)
+    return out.view("<i8").ravel()
+
+
+def counted(encoded: DataFrame, model: Model | None, n: int, states: int, tails: bool) -> DataFrame:
+    """Expected counts by partition. A row per symbol: at, s0, s1, ...; the first states have ``at`` -1, steps from state
+    i -2-i. With ``tails`` also a row per word outside the head and run of rows: word, k (occurrences), q (its shares)."""
+    held = encoded.sparkSession.sparkContext.broadcast(model)
+    names = [f"s{i}" for i in range(states)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        made = lambda at, word, k, q, sums: pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), word.cast(pa.string()), pa.array(k, pa.int64()), pa.array(q, pa.int64()), *[pa.array(sums[:, i]) for i in range(states)]], ["at", "word", "k", "q", *names])
+        sums = [np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
+        for batch in batches:
+            for rows, texts in grouped(batch, 0):
+                if model is None:
+                    part = assigned(texts, n, states)
+                elif not tails:
+                    part = expected(model, texts, n)
+                else:
+                    coded = rows.column(1).flatten().dictionary_encode()
+                    own = coded.indices.to_numpy().astype(np.int64)
+                    words = coded.dictionary
+                    wide = Model(model.start, model.step, np.r_[model.emit, np.repeat(model.emit[n - 2 : n - 1], len(words), 0)])
+                    part = expected(wide, with_own(texts, n - 2, n + own), n + len(words))
+                    each = part[2][n:]
+                    part[2][n - 2] += each.sum(0)
+                    part = (*part[:2], part[2][:n])
+                    if len(words):
+                        yield made(np.full(len(words), -100), words, np.bincount(own, minlength=len(words)), packed_shares(each / each.sum(1, keepdims=True)), np.zeros((len(words), states)))
+                for a, b in zip(sums, part, strict=True):
+                    a += b
+        seen = np.flatnonzero(sums[2].any(1))
+        at = np.r_[seen, -1, np.arange(-2, -2 - states, -1)]
+        zero = np.zeros(len(at), np.int64)
+        yield made(at, pa.nulls(len(at), pa.string()), zero, zero, np.r_[sums[2][seen], sums[0][None], sums[1]])
+
+    columns = ["symbols", "rest"] if tails else ["symbols"]
+    return encoded.select(*columns).mapInArrow(run, "at int, word string, k long, q long, " + ", ".join(f"{x} double" for x in names))
+
+
+def gathered(parts: DataFrame, n: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of all partitions: of first states, of steps, of emissions. A row per symbol comes to the driver."""
+    names = [f"s{i}" for i in range(states)]
+    found = parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    at, values = found["at"].to_numpy(), found[names].to_numpy(float)
+    emitted, rest = np.zeros((n, states)), np.zeros((1 + states, states))
+    emitted[at[at >= 0]] = values[at >= 0]
+    rest[-1 - at[at < 0]] = values[at < 0]
+    return rest[0], rest[1:], emitted
+
+
+def tail_table(parts: DataFrame, states: int) -> DataFrame:
+    """(word, n, q): the words outside the head, their counts and shares."""
+    rows = parts.filter(F.col("word").isNotNull()).select("word", "k", "q").repartition("word")
+    total = lambda q: sum((byte_of(q, s) for s in range(1, states)), byte_of(q, 0))
+    sums = rows.groupBy("word").agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * byte_of(F.col("q"), s) / total(F.col("q"))).alias(f"w{s}") for s in range(states)])
+    each = lambda s: F.shiftleft(F.round(255 * F.col(f"w{s}") / F.col("n")).cast("long"), 8 * s)
+    return sums.select("word", "n", sum((each(s) for s in range(1, states)), each(0)).alias("q"))
+
+
+def scored(docs: DataFrame, states: int = STATES, rounds: Sequence[tuple[int, int]] = ROUNDS, head_words: int = HEAD) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = _split(docs)
@@ -188,10 +275,6 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_wor
     base[-2] = (total - own.sum() + ADDED * (others + 1)) / scale
     n = len(base)
 
-    picked = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(SAMPLE)
-    sample = train.join(F.broadcast(picked), "doc_id", "left_semi").select("t").limit(2 * SAMPLE).toPandas()["t"]
-    model = started([symbols_of(words_of(t), head) for t in sample], base, states, START_ROUNDS)
-
     held_head = spark.sparkContext.broadcast(head)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,57 +284,52 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_wor
             for t in batch.column(2):
                 found = words_of(t.as_py())
                 symbols.append(symbols_of(found, known).tobytes())
-                rest.append([{"word": w.decode(), "k": k} for w, k in Counter(w for w in found if w not in known).items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.binary()), pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))], ["doc_id", "held_out", "symbols", "rest"])
-
-    encoded = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInArrow(encode, "doc_id long, held_out boolean, symbols binary, rest array<struct<word: string, k: long>>")
-    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-
-    names = [f"s{i}" for i in range(states)]
-    for _ in range(rounds):
-        held = spark.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
-            for batch in batches:
-                part = expected(held.value, [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)], n)
-                for a, b in zip(sums, part, strict=True):
-                    a += b
-            seen = np.flatnonzero(sums[2].any(1))
-            at = np.r_[seen, -1, np.arange(-2, -2 - states, -1)]
-            values = np.r_[sums[2][seen], sums[0][None], sums[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(values[:, i]) for i in range(states)]], ["at", *names])
-
-        parts = encoded.filter(~F.col("held_out")).select("symbols").mapInArrow(count, "at int, " + ", ".join(f"{x} double" for x in names))
-        sums = parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toPandas().set_index("at")  # a row per symbol
-        emit = np.zeros((n, states))
-        plain = sums[sums.index >= 0]
-        emit[plain.index.to_numpy()] = plain[names].to_numpy()
-        zero = pd.Series(0.0, names)
-        get = lambda i, sums=sums: (sums.loc[i] if i in sums.index else zero)[names].to_numpy(float)
-        model = Model.of(get(-1), np.stack([get(-2 - i) for i in range(states)]), emit, base)
-
-    held = spark.sparkContext.broadcast((model, np.log10(base)))
+                rest.append([w.decode() for w in found if w not in known])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "held_out", "symbols", "rest"])
+
+    encoded = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInArrow(encode, "doc_id long, held_out boolean, symbols binary, rest array<string>")
+    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded", "zstd")
+
+    learn = encoded.filter(~F.col("held_out"))
+    share = lambda of: learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0)
+    model = Model.of(*gathered(counted(share(rounds[0][0]), None, n, states, False), n, states), base)
+    steps = [of for of, times in rounds for _ in range(times)]
+    for of in steps[:-1]:
+        model = Model.of(*gathered(counted(share(of), model, n, states, False), n, states), base)
+    parts = stored(counted(share(steps[-1]), model, n, states, True), "expected", "zstd")
+    start, step, emitted = gathered(parts.filter(F.col("word").isNull()), n, states)
+    tail = stored(tail_table(parts, states), "tail", "zstd")
+    byte_sum = sum((byte_of(F.col("q"), s) for s in range(1, states)), byte_of(F.col("q"), 0))
+    emitted[n - 2] = tail.agg(*[F.coalesce(F.sum(F.col("n") * byte_of(F.col("q"), s) / byte_sum), F.lit(0.0)) for s in range(states)]).first()
+    held = spark.sparkContext.broadcast((Model.of(start, step, emitted, base), np.log10(base), emitted.sum(0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = held.value
+        model, logs, sums = held.value
         for batch in batches:
-            texts = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(3)]
-            others = np.array([(t == n - 2).sum() for t in texts], np.int64)
-            plain = [float(logs[t[t != n - 2]].sum()) for t in texts]
-            value = log_likelihood(model, texts) - others * logs[n - 2]
-            known = np.array([len(t) for t in texts], np.int64) - others - (0 if ends else 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(known), pa.array(plain, pa.float64()), pa.array(value, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "known", "plain", "value"])
-
-    values = encoded.select("row", "doc_id", "held_out", "symbols").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, plain double, value double")
-    rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.k")
-    found = rest.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + ADDED) / scale)).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("seen"),
-    )
-    out = values.join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), (F.col("value") + more).alias("score"))
+            for rows, texts in grouped(batch, 2):
+                others = np.array([(t == n - 2).sum() for t in texts], np.int64)
+                found = rows.column(3)
+                flat = found.flatten()
+                at = np.repeat(np.cumsum(others) - others, others) + flat.field("i").to_numpy()
+                times, q = np.zeros(len(at)), np.zeros(len(at), "<i8")
+                times[at], q[at] = flat.field("n").to_numpy(), flat.field("q").to_numpy()
+                shares = q.view(np.uint8).reshape(-1, 8)[:, :states].astype(float)
+                shares /= np.maximum(shares.sum(1, keepdims=True), 1)
+                plain = (times + ADDED) / scale
+                tails = (times[:, None] * shares + SMOOTH * plain[:, None]) / (sums + SMOOTH)
+                wide = Model(model.start, model.step, np.r_[model.emit, tails])
+                value = log_likelihood(wide, with_own(texts, n - 2, n + np.arange(len(at))))
+                owner = np.repeat(np.arange(len(texts)), others)
+                base_score = np.array([logs[t[t != n - 2]].sum() for t in texts]) + np.bincount(owner, np.log10(plain), len(texts))
+                lengths = np.array([len(t) for t in texts], np.int64)
+                known = lengths - others - (0 if ends else 1) + np.bincount(owner, times > 0, len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lengths), pa.array(known), pa.array(np.full(len(texts), total, np.int64)), pa.array(base_score, pa.float64()), pa.array(value, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    places = encoded.select("row", F.posexplode("rest").alias("i", "word")).join(tail, "word", "left")
+    places = places.select("row", F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", F.lit(0)).alias("q")).alias("f")).repartition("row")
+    found = places.groupBy("row").agg(F.collect_list("f").alias("found"))  # as many as a text has words
+    out = encoded.select("row", "doc_id", "held_out", "symbols").join(found, "row", "left").select("doc_id", "held_out", "symbols", "found")
+    return out.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ ROUNDS = ((16, 6), (4, 3), (1, 2))
 #: Weight of the base distribution in each state's emissions, in tokens.
 SMOOTH = 100.0
 TOKENS = 300_000
+#: Tokens of rows whose words outside the head are held at once; their long texts go side by side.
+HELD = 8 * TOKENS
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
 ADDED = 0.1
@@ -169,11 +171,11 @@ def assigned(texts: list[np.ndarray], symbols: int, states: int) -> tuple[np.nda
 
 
 def grouped(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Runs of rows with TOKENS tokens at most, or one row, and their symbols (column number ``symbols``)."""
+    """Runs of rows with HELD tokens at most, or one row, and their symbols (column number ``symbols``)."""
     texts = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(symbols)]
     low = size = 0
     for i, t in enumerate(texts):
-        if i > low and size + len(t) > TOKENS:
+        if i > low and size + len(t) > HELD:
             yield batch.slice(low, i - low), texts[low:i]
             low, size = i, 0
         size += len(t)
@@ -210,7 +212,7 @@ def counted(encoded: DataFrame, model: Model | None, n: int, states: int, tails:
         made = lambda at, word, k, q, sums: pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), word.cast(pa.string()), pa.array(k, pa.int64()), pa.array(q, pa.int64()), *[pa.array(sums[:, i]) for i in range(states)]], ["at", "word", "k", "q", *names])
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
         for batch in batches:
-            for rows, texts in grouped(batch, 0):
+            for rows, texts in grouped(batch, 0) if tails else [(batch, [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)])]:
                 if model is None:
                     part = assigned(texts, n, states)
                 elif not tails:

@@ -6,7 +6,7 @@ States are trained by Baum-Welch: every partition adds up the expected counts of
 word, and new probabilities are made of them. First each text has one state, drawn by a hash of its text; rounds over
 growing fixed shares of the training rows follow, the last ones over all of them. In the rounds the words of the table
 share their emissions by their counts; the last round gathers the expected counts of each of them too. A word's shares of
-the states are kept in a byte each, and the emissions are made of these, so that they sum to 1 all the same.
+the states are kept in a byte each (of their roots), and the emissions are made of these, so that they sum to 1 all the same.
 Emissions are smoothed towards the base distribution, so every word, known or not, has a probability and those of all
 words and one unknown sum to 1.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, table
+from millrace.llm.common import dropped, recorded, stored, table
 
 #: At most 8, a byte each of a whole number of 64 bits.
 STATES = 8
@@ -37,6 +37,8 @@ STATES = 8
 HEAD = 65_534
 #: Rounds of Baum-Welch: over one of so many training rows, how often.
 ROUNDS = ((16, 6), (4, 3), (1, 2))
+#: Tasks of a round, at least, if the table has as many.
+FEWEST = 12
 #: Weight of the base distribution in each state's emissions, in tokens.
 SMOOTH = 100.0
 TOKENS = 300_000
@@ -135,9 +137,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def symbols_of(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
+def coded(words: list[bytes], head: dict[bytes, int]) -> tuple[np.ndarray, list[str]]:
+    """The symbols of words and an end, and the words outside the head."""
     other = len(head)
-    return np.array([*[head.get(w, other) for w in words], other + 1], np.uint16)
+    symbols = np.array([*[head.get(w, other) for w in words], other + 1], np.uint16)
+    return symbols, [words[i].decode() for i in np.flatnonzero(symbols == other).tolist()]
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -165,8 +169,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def assigned(texts: list[np.ndarray], symbols: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts before the first round: each text has one state, by a hash of its symbols."""
     emitted = np.zeros((symbols, states))
-    for t in texts:
-        emitted[:, zlib.crc32(t.tobytes()) % states] += np.bincount(t, minlength=symbols)
+    of = [zlib.crc32(t.tobytes()) % states for t in texts]
+    for s in set(of):
+        emitted[:, s] = np.bincount(np.concatenate([t for t, k in zip(texts, of, strict=True) if k == s]), minlength=symbols)
     return np.ones(states), np.eye(states) * 100, emitted
 
 
@@ -190,14 +195,22 @@ def with_own(texts: list[np.ndarray], other: int, own: np.ndarray) -> list[np.nd
     return np.split(flat, np.cumsum([len(t) for t in texts])[:-1])
 
 
-def byte_of(packed: Column, state: int) -> Column:
-    return F.shiftrightunsigned(packed, 8 * state).bitwiseAND(F.lit(255).cast("long"))
+def weights(packed: Column, states: int) -> list[Column]:
+    """What ``packed_shares`` keeps of each state: squares of bytes, as small shares matter to a likelihood too."""
+    each = [F.shiftrightunsigned(packed, 8 * s).bitwiseAND(F.lit(255).cast("long")) for s in range(states)]
+    return [x * x for x in each]
+
+
+def shared(n: Column, packed: Column, states: int) -> list[Column]:
+    """``n`` dealt out by the shares."""
+    each = weights(packed, states)
+    return [n * x / sum(each[1:], each[0]) for x in each]
 
 
 def packed_shares(shares: np.ndarray) -> np.ndarray:
-    """Shares of the states (words x states, each row sums to 1) in a byte each."""
+    """Shares of the states (words x states, each row sums to 1) in a byte each, of their roots."""
     out = np.zeros((len(shares), 8), np.uint8)
-    out[:, : shares.shape[1]] = np.rint(255 * shares)
+    out[:, : shares.shape[1]] = np.rint(255 * np.sqrt(shares))
     return out.view("<i8").ravel()
 
 
@@ -209,7 +222,7 @@ def counted(encoded: DataFrame, model: Model | None, n: int, states: int, tails:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        made = lambda at, word, k, q, sums: pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), word.cast(pa.string()), pa.array(k, pa.int64()), pa.array(q, pa.int64()), *[pa.array(sums[:, i]) for i in range(states)]], ["at", "word", "k", "q", *names])
+        made = lambda at, word, k, q, sums: pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), word.cast(pa.string()), pa.array(k, pa.int64()), pa.array(q, pa.int64()), *[pa.array(sums[:, i], pa.float32()) for i in range(states)]], ["at", "word", "k", "q", *names])
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
         for batch in batches:
             for rows, texts in grouped(batch, 0) if tails else [(batch, [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)])]:
@@ -218,9 +231,9 @@ def counted(encoded: DataFrame, model: Model | None, n: int, states: int, tails:
                 elif not tails:
                     part = expected(model, texts, n)
                 else:
-                    coded = rows.column(1).flatten().dictionary_encode()
-                    own = coded.indices.to_numpy().astype(np.int64)
-                    words = coded.dictionary
+                    found = rows.column(1).flatten().dictionary_encode()
+                    own = found.indices.to_numpy().astype(np.int64)
+                    words = found.dictionary
                     wide = Model(model.start, model.step, np.r_[model.emit, np.repeat(model.emit[n - 2 : n - 1], len(words), 0)])
                     part = expected(wide, with_own(texts, n - 2, n + own), n + len(words))
                     each = part[2][n:]
@@ -236,13 +249,13 @@ def counted(encoded: DataFrame, model: Model | None, n: int, states: int, tails:
         yield made(at, pa.nulls(len(at), pa.string()), zero, zero, np.r_[sums[2][seen], sums[0][None], sums[1]])
 
     columns = ["symbols", "rest"] if tails else ["symbols"]
-    return encoded.select(*columns).mapInArrow(run, "at int, word string, k long, q long, " + ", ".join(f"{x} double" for x in names))
+    return encoded.select(*columns).mapInArrow(run, "at int, word string, k long, q long, " + ", ".join(f"{x} float" for x in names))
 
 
 def gathered(parts: DataFrame, n: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The counts of all partitions: of first states, of steps, of emissions. A row per symbol comes to the driver."""
     names = [f"s{i}" for i in range(states)]
-    found = parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    found = parts.select("at", *names).repartition("at").groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
     at, values = found["at"].to_numpy(), found[names].to_numpy(float)
     emitted, rest = np.zeros((n, states)), np.zeros((1 + states, states))
     emitted[at[at >= 0]] = values[at >= 0]
@@ -253,9 +266,8 @@ def gathered(parts: DataFrame, n: int, states: int) -> tuple[np.ndarray, np.ndar
 def tail_table(parts: DataFrame, states: int) -> DataFrame:
     """(word, n, q): the words outside the head, their counts and shares."""
     rows = parts.filter(F.col("word").isNotNull()).select("word", "k", "q").repartition("word")
-    total = lambda q: sum((byte_of(q, s) for s in range(1, states)), byte_of(q, 0))
-    sums = rows.groupBy("word").agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * byte_of(F.col("q"), s) / total(F.col("q"))).alias(f"w{s}") for s in range(states)])
-    each = lambda s: F.shiftleft(F.round(255 * F.col(f"w{s}") / F.col("n")).cast("long"), 8 * s)
+    sums = rows.groupBy("word").agg(F.sum("k").alias("n"), *[F.sum(x).alias(f"w{s}") for s, x in enumerate(shared(F.col("k"), F.col("q"), states))])
+    each = lambda s: F.shiftleft(F.rint(255 * F.sqrt(F.col(f"w{s}") / F.col("n"))).cast("long"), 8 * s)
     return sums.select("word", "n", sum((each(s) for s in range(1, states)), each(0)).alias("q"))
 
 
@@ -264,7 +276,8 @@ def scored(docs: DataFrame, states: int = STATES, rounds: Sequence[tuple[int, in
     spark = docs.sparkSession
     rows = _split(docs)
     train = rows.filter(~F.col("held_out"))
-    counts = stored(word_counts(train), "words")
+    with recorded() as words_made:
+        counts = stored(word_counts(train), "words")
     ends = train.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
@@ -284,25 +297,32 @@ def scored(docs: DataFrame, states: int = STATES, rounds: Sequence[tuple[int, in
         for batch in batches:
             symbols, rest = [], []
             for t in batch.column(2):
-                found = words_of(t.as_py())
-                symbols.append(symbols_of(found, known).tobytes())
-                rest.append([w.decode() for w in found if w not in known])
+                one, others = coded(words_of(t.as_py()), known)
+                symbols.append(one.tobytes())
+                rest.append(others)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "held_out", "symbols", "rest"])
 
     encoded = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInArrow(encode, "doc_id long, held_out boolean, symbols binary, rest array<string>")
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded", "zstd")
 
-    learn = encoded.filter(~F.col("held_out"))
-    share = lambda of: learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0)
+    tasks = encoded.rdd.getNumPartitions()
+
+    def share(of: int) -> DataFrame:
+        """One of so many training rows, in as many fewer tasks: each hands on a row per symbol."""
+        learn = encoded.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0))
+        return learn.coalesce(max(tasks // of, FEWEST)) if of > 1 else learn
+
     model = Model.of(*gathered(counted(share(rounds[0][0]), None, n, states, False), n, states), base)
     steps = [of for of, times in rounds for _ in range(times)]
     for of in steps[:-1]:
         model = Model.of(*gathered(counted(share(of), model, n, states, False), n, states), base)
-    parts = stored(counted(share(steps[-1]), model, n, states, True), "expected", "zstd")
+    with recorded() as made:
+        parts = stored(counted(share(steps[-1]), model, n, states, True), "expected", "zstd")
     start, step, emitted = gathered(parts.filter(F.col("word").isNull()), n, states)
     tail = stored(tail_table(parts, states), "tail", "zstd")
-    byte_sum = sum((byte_of(F.col("q"), s) for s in range(1, states)), byte_of(F.col("q"), 0))
-    emitted[n - 2] = tail.agg(*[F.coalesce(F.sum(F.col("n") * byte_of(F.col("q"), s) / byte_sum), F.lit(0.0)) for s in range(states)]).first()
+    for path in [*words_made, *made]:  # read for the last time
+        dropped(spark, path)
+    emitted[n - 2] = tail.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in shared(F.col("n"), F.col("q"), states)]).first()
     held = spark.sparkContext.broadcast((Model.of(start, step, emitted, base), np.log10(base), emitted.sum(0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +335,7 @@ def scored(docs: DataFrame, states: int = STATES, rounds: Sequence[tuple[int, in
                 at = np.repeat(np.cumsum(others) - others, others) + flat.field("i").to_numpy()
                 times, q = np.zeros(len(at)), np.zeros(len(at), "<i8")
                 times[at], q[at] = flat.field("n").to_numpy(), flat.field("q").to_numpy()
-                shares = q.view(np.uint8).reshape(-1, 8)[:, :states].astype(float)
+                shares = q.view(np.uint8).reshape(-1, 8)[:, :states].astype(float) ** 2
                 shares /= np.maximum(shares.sum(1, keepdims=True), 1)
                 plain = (times + ADDED) / scale
                 tails = (times[:, None] * shares + SMOOTH * plain[:, None]) / (sums + SMOOTH)

@@ -161,6 +161,37 @@ def test_language_model(spark, docs):
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_hmm_by_brute_force(spark, docs):
+    """The same training on one machine, with emissions of every word in one matrix."""
+    words = {k: [w.decode() for w in d["text"].encode().lower().split()] for k, d in docs.items()}
+    train = [k for k in words if zlib.crc32(str(k).encode()) % 10]
+    counts = Counter(w for k in train for w in words[k])
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    place = {w: i for i, w in enumerate(order)}
+    head, n = 300, 302
+    scale = sum(counts.values()) + len(train) + 0.1 * (len(counts) + 2)
+    own = np.array([counts[w] for w in order], float)
+    base = np.r_[own[:head] + 0.1, own[head:].sum() + 0.1 * (len(own) - head + 1), len(train) + 0.1] / scale
+    texts = {k: np.array([*[min(place.get(w, head), head) for w in ws], head + 1], np.uint16) for k, ws in words.items()}
+    model = hmm.Model.of(*hmm.assigned([texts[k] for k in train], n, 8), base)
+    model = hmm.Model.of(*hmm.expected(model, [texts[k] for k in train], n), base)
+    wide = hmm.Model(model.start, model.step, np.r_[model.emit, np.repeat(model.emit[head:n - 1], len(own), 0)])
+    full = {k: np.array([*[place[w] if place[w] < head else n + place[w] for w in words[k]], head + 1]) for k in train}
+    start, step, emitted = hmm.expected(wide, list(full.values()), n + len(own))
+    shares = emitted[n + head :] / emitted[n + head :].sum(1, keepdims=True)
+    for _ in range(2):  # as the operator keeps them: in a run of rows, and in the table
+        shares = np.rint(255 * np.sqrt(shares)) ** 2
+        shares /= shares.sum(1, keepdims=True)
+    every = np.r_[emitted[:head], shares * own[head:, None], emitted[head + 1][None], np.zeros((1, 8))]  # words, end, unknown
+    plain = np.r_[own + 0.1, len(train) + 0.1, 0.1] / scale
+    best = hmm.Model.of(start, step, every, plain)
+    assert np.allclose(best.emit.sum(0), 1)
+    got = {r["doc_id"]: r for r in hmm.scored(table(spark, FOLDER, "documents"), rounds=((1, 2),), head_words=head).collect()}
+    for k, ws in words.items():
+        score = hmm.log_likelihood(best, [np.array([*[place.get(w, len(own) + 1) for w in ws], len(own)])])[0]
+        assert abs(got[k]["score"] - score) < 1e-3 * abs(score)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(0)
     emit = rng.dirichlet(np.ones(6), 3).T

@@ -20,12 +20,12 @@ are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +44,8 @@ SMOOTH = 100.0
 TOKENS = 300_000
 #: Tokens of rows whose words outside the head are held at once; their long texts go side by side.
 HELD = 8 * TOKENS
-#: Distinct words that a task counts before it hands them on.
-COUNTED = 300_000
+#: Bytes of text that are parted into words at once.
+BYTES = 16_000_000
 ADDED = 0.1
 
 
@@ -133,15 +133,35 @@ def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Runs of rows with BYTES of text at most, or one row: the words of each run in order, and how many each row has."""
+    texts = pc.fill_null(texts, "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    low = size = 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or (i > low and size + sizes[i] > BYTES):
+            if i > low:
+                found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(low, i - low)))
+                words = found.flatten()
+                real = pc.not_equal(words, "")
+                rows = np.repeat(np.arange(i - low), found.value_lengths().to_numpy(zero_copy_only=False))
+                yield words.filter(real), np.bincount(rows[real.to_numpy(zero_copy_only=False)], minlength=i - low)
+            low, size = i, 0
+        if i < len(texts):
+            size += sizes[i]
 
 
-def coded(words: list[bytes], head: dict[bytes, int]) -> tuple[np.ndarray, list[str]]:
-    """The symbols of words and an end, and the words outside the head."""
+def coded(texts: pa.Array, head: pa.Array) -> Iterator[tuple[list[bytes], pa.ListArray]]:
+    """By run of rows, each row's symbols (of words and an end) and its words outside the head."""
     other = len(head)
-    symbols = np.array([*[head.get(w, other) for w in words], other + 1], np.uint16)
-    return symbols, [words[i].decode() for i in np.flatnonzero(symbols == other).tolist()]
+    for words, lengths in words_of(texts):
+        symbols = pc.fill_null(pc.index_in(words, head), other).to_numpy(zero_copy_only=False).astype(np.uint16)
+        out = symbols == other
+        ends = np.cumsum(lengths)
+        rest = np.r_[0, np.cumsum(out)][np.r_[0, ends]]
+        lists = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), words.filter(pa.array(out)))
+        last = np.uint16(other + 1).tobytes()
+        yield [symbols[b:e].tobytes() + last for b, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], lists
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -153,15 +173,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over all texts ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-                if len(counts) > COUNTED:
-                    yield made()
-                    counts = Counter()
-        yield made()
+            for words, _ in words_of(batch.column(0)):
+                found = words.value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
     return rows.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -283,24 +298,22 @@ def scored(docs: DataFrame, states: int = STATES, rounds: Sequence[tuple[int, in
     total, distinct = total + ends, distinct + (ends > 0)
     scale = total + ADDED * (distinct + 1)
     top = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()  # at most head_words
-    head = {r["word"].encode(): i for i, r in enumerate(top)}
     own = np.array([*[r["n"] for r in top], 0, ends], float)
     base = (own + ADDED) / scale
-    others = distinct - len(head) - (ends > 0)
+    others = distinct - len(top) - (ends > 0)
     base[-2] = (total - own.sum() + ADDED * (others + 1)) / scale
     n = len(base)
 
-    held_head = spark.sparkContext.broadcast(head)
+    held_head = spark.sparkContext.broadcast([r["word"] for r in top])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held_head.value
+        known = pa.array(held_head.value, pa.string())
         for batch in batches:
-            symbols, rest = [], []
-            for t in batch.column(2):
-                one, others = coded(words_of(t.as_py()), known)
-                symbols.append(one.tobytes())
-                rest.append(others)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "held_out", "symbols", "rest"])
+            low = 0
+            for symbols, rest in coded(batch.column(2), known):
+                run = batch.slice(low, len(symbols))
+                low += len(symbols)
+                yield pa.RecordBatch.from_arrays([run.column(0), run.column(1), pa.array(symbols, pa.binary()), rest], ["doc_id", "held_out", "symbols", "rest"])
 
     encoded = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInArrow(encode, "doc_id long, held_out boolean, symbols binary, rest array<string>")
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded", "zstd")

@@ -201,7 +201,8 @@ TEMPLATES: dict[str, str | dict[int, str]] = {
     "to_base64": "base64(cast({0} as binary))",
     "from_base64": "decode(unbase64({0}), 'UTF-8')",
     "decode_base64": "decode(unbase64({0}), 'UTF-8')",
-    "format_bytes": "case when {0} < 1024 then concat({0}, ' B') when {0} < 1048576 then concat({0} div 1024, ' KiB') when {0} < 1073741824 then concat({0} div 1048576, ' MiB') else concat({0} div 1073741824, ' GiB') end",
+    # MiB is the last unit, as in the SQL of fn_formats; pg_size_pretty, which no SQL fixes, goes on.
+    "format_bytes": "case when {0} < 1024 then concat({0}, ' B') when {0} < 1048576 then concat({0} div 1024, ' KiB') else concat({0} div 1048576, ' MiB') end",
     "pg_size_pretty": "case when {0} < 1024 then concat({0}, ' B') when {0} < 1048576 then concat({0} div 1024, ' KiB') when {0} < 1073741824 then concat({0} div 1048576, ' MiB') else concat({0} div 1073741824, ' GiB') end",
     # similarity
     **{f: "cast(levenshtein({0}, {1}) as bigint)" for f in ("levenshtein", "editdist", "edit_distance")},

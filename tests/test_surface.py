@@ -49,3 +49,13 @@ def test_same_rows(spark, oracle, name):
 
 def test_every_query_is_known():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_formats_at_every_size(spark, tmp_path):
+    keys = "[NULL, 1, 2, 1048, 1049, 1073741, 1073742, 2147484, 1099511628, 5000000000]"
+    duckdb.sql(f"COPY (SELECT p.* REPLACE (unnest({keys}) AS p_partkey) FROM (FROM '{FOLDER}/part.parquet' LIMIT 1) AS p) TO '{tmp_path}/part.parquet'")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    theirs = connection.sql(registry.oracle_sql()["fn_formats"]).fetchall()
+    assert len(theirs) == 10
+    assert sorted(map(tuple, registry.queries()["fn_formats"](spark, str(tmp_path)).collect()), key=repr) == sorted(theirs, key=repr)

@@ -13,9 +13,9 @@ whose sorted strings are merged by binary search. Exact copies of whole texts ar
 doc_id and text count once.
 
 An anchor with more than HOT contexts is split: first equal contexts are dropped but one in each of as many salted
-groups as its count asks for; then each context is cut by the place of the anchor in the string, STEP places at a time,
-and goes to the shard of the bytes that all strings of that part share. Equal strings still meet, as their bytes alone
-decide place and part.
+groups as its count asks for; then the strings get anchors of more bytes, by the same rule, and each context is cut where
+these change. What has more than HOT contexts still is split by anchors of more bytes again, up to all but three of a
+string's. Equal strings still meet, as their bytes alone decide each anchor.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows of one doc_id and text are one document and
 don't repeat each other. Texts below LENGTH bytes lose nothing. Empty tables give empty results. Other columns are not
@@ -24,9 +24,10 @@ read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,21 +44,20 @@ BITS = 1 << 26
 #: Bytes of text that are hashed at a time, and of contexts that one suffix array holds.
 CHUNK = 1 << 20
 SHARD = 1 << 20
-#: Contexts of an anchor beyond which it is split, and places of the anchor in a string that a part covers.
+#: Contexts of an anchor beyond which it is split, and bytes of the anchors by which it is, one after the other.
 HOT = 2000
-STEP = 4
+FINER = (60, 84, 97)
 #: Rows of small tables (some 40 bytes each) up to which they are broadcast.
 SMALL = 200_000
 LAST = (1 << 63) - 1
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of texts together below CHUNK bytes (or one longer): hash, text, first and last string start of each anchor, and
-    where in the text it is."""
-    gram = min(GRAM, length)
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of texts together below CHUNK bytes (or one longer): hash, text, first and last string start of each anchor."""
+    gram = min(gram, length)
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    none = (np.empty(0, np.int64),) * 5
+    none = (np.empty(0, np.int64),) * 4
     if len(data) < length:
         return none
     x = np.zeros(len(data) + 32, np.uint64)
@@ -94,7 +94,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     last = np.r_[first[1:], len(at)] - 1
     begin = np.r_[0, ends[:-1]]
     shift = begin[of[first]]
-    return h[at[first]].view(np.int64), of[first], start[first] - shift, start[last] - shift, at[first] - shift
+    return h[at[first]].view(np.int64), of[first], start[first] - shift, start[last] - shift
 
 
 SYMBOLS = 7
@@ -261,31 +261,30 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
         yield ids, keys, texts, starts
 
 
-MARKED = "h long, doc_id long, tx long, first int, last int, at int, context binary"
+MARKED = "h long, doc_id long, tx long, first int, last int, context binary"
 MARK = "doc_id long, tx long, first int, last int"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "tx", "first", "last", "at", "context"])
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "tx", "first", "last", "context"])
 
 
 def _contexts(ids, keys, texts, starts, hit, found) -> list[tuple]:
-    """Rows of a chunk: contexts of repeated anchors, the first of equal ones; the others are marks, without a context.
-    at: where in the context the anchor is."""
-    h, of, first, last, at_ = (x[hit].tolist() for x in found)
+    """Rows of a chunk: contexts of repeated anchors, the first of equal ones; the others are marks, without a context."""
+    h, of, first, last = (x[hit].tolist() for x in found)
     seen: dict[tuple[int, bytes], int] = {}
     rows: list[tuple] = []
-    for x, n, a, b, p in zip(h, of, first, last, at_, strict=True):
+    for x, n, a, b in zip(h, of, first, last, strict=True):
         low = starts[n]
-        row = (x, ids[n], keys[n], low + a, low + b, p - a, texts[n][a : b + LENGTH])
-        at = seen.setdefault((x, row[6]), len(rows))
+        row = (x, ids[n], keys[n], low + a, low + b, texts[n][a : b + LENGTH])
+        at = seen.setdefault((x, row[5]), len(rows))
         if at < len(rows):
             other = rows[at]
             if row[1:4] < other[1:4]:
                 rows[at], row = row, other
-            row = (0, *row[1:6], None)
+            row = (0, *row[1:5], None)
         rows.append(row)
     return rows
 
@@ -359,21 +358,31 @@ def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(h=frame["anchor"], context=context).drop(columns="anchor")
 
 
-def _split(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of hot anchors (``counts``: h, times) by parts, and marks of those whose context comes earlier."""
+def _finer(gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Contexts cut by the anchors of ``gram`` bytes that their strings have."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = CHUNK // (2 * LENGTH)  # a context has below 2 * LENGTH bytes
+        for batch in batches:
+            for low in range(0, len(batch), step):
+                rows = batch.iloc[low : low + step]
+                contexts = rows["context"].tolist()
+                h, of, first, last = anchors(contexts, gram=gram)
+                begin = rows["first"].to_numpy()[of]
+                cut = [contexts[c][a : b + LENGTH] for c, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)]
+                yield pd.DataFrame({"h": h, "doc_id": rows["doc_id"].to_numpy()[of], "tx": rows["tx"].to_numpy()[of], "first": begin + first, "last": begin + last, "context": cut})
+
+    return run
+
+
+def _split(rows: DataFrame, counts: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot anchors (``counts``: h, times) by anchors of ``gram`` bytes, and marks of those whose context comes
+    earlier."""
     hot = join_small(rows, counts.withColumnRenamed("h", "__h"), F.col("h") == F.col("__h"), "inner", counts.count())
     salt = F.pmod(F.xxhash64("doc_id", "tx", "first"), F.ceil(F.col("times") / HOT))
     salted = hot.withColumns({"anchor": F.col("h"), "h": F.xxhash64("h", "context", salt)}).drop("__h", "times")
     thin = stored(salted.repartition("h").sortWithinPartitions("h").mapInPandas(_thinned, MARKED), "hot")
-    rest, gram = LENGTH - min(GRAM, LENGTH), min(GRAM, LENGTH)
-    begins = [F.struct(F.lit(o).alias("near"), F.lit(min(o + STEP - 1, rest)).alias("far")) for o in range(0, rest + 1, STEP)]
-    parts = thin.filter("context is not null").withColumn("o", F.explode(F.array(*begins)))
-    # The string starts near to far bytes before the anchor, so near bytes before it and rest - far after it are its own.
-    size, at, near, far = F.octet_length("context"), F.col("at"), F.col("o.near"), F.col("o.far")
-    low, high = F.greatest(F.lit(0), at - far), F.least(size, at + gram + rest - near)
-    cut = parts.filter((at >= near) & (size >= at + gram + rest - far) & (high - low >= LENGTH))
-    own = F.substring(F.col("context"), at - near + 1, near + gram + rest - far)
-    made = cut.select(F.xxhash64("h", near, own).alias("h"), "doc_id", "tx", (F.col("first") + low).alias("first"), (F.col("first") + high - LENGTH).alias("last"), (at - low).alias("at"), F.substring("context", low + 1, high - low).alias("context"))
+    made = stored(thin.filter("context is not null").mapInPandas(_finer(gram), MARKED), "parts")
     return made, thin.filter("context is null").select("doc_id", "tx", "first", "last")
 
 
@@ -440,26 +449,30 @@ def repeats(docs: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame,
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, keys, chunk, starts in _chunks(batches):
                 found = (x.tolist() for x in anchors(chunk))
-                yield _emit([(x, ids[n], keys[n], starts[n] + a, starts[n] + b, p - a, None) for x, n, a, b, p in zip(*found, strict=True)])
+                yield _emit([(x, ids[n], keys[n], starts[n] + a, starts[n] + b, None) for x, n, a, b in zip(*found, strict=True)])
 
-        hits = texts.mapInArrow(places, MARKED).join(again, "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("h", "first", "last", "at")).alias("hits"))
+        hits = texts.mapInArrow(places, MARKED).join(again, "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("h", "first", "last")).alias("hits"))
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for d, k, t, found in zip(batch["doc_id"], batch["tx"], batch["text"], batch["hits"], strict=True):
                     data = t.encode()
-                    out += [(x["h"], d, k, x["first"], x["last"], x["at"], data[x["first"] : x["last"] + LENGTH]) for x in found]
-                yield pd.DataFrame(out, columns=["h", "doc_id", "tx", "first", "last", "at", "context"])
+                    out += [(x["h"], d, k, x["first"], x["last"], data[x["first"] : x["last"] + LENGTH]) for x in found]
+                yield pd.DataFrame(out, columns=["h", "doc_id", "tx", "first", "last", "context"])
 
         rows = texts.join(hits, ["doc_id", "tx"]).select("doc_id", "tx", "text", "hits").mapInPandas(cut, MARKED)
     rows = stored(rows, "contexts")
     marks, some = rows.filter("context is null").select("doc_id", "tx", "first", "last"), rows.filter("context is not null")
-    hot = stored(some.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT), "hot")
-    if not hot.isEmpty():
-        parts, thinned = _split(some, hot)
-        some = join_small(some, hot.select(F.col("h").alias("__h")), F.col("h") == F.col("__h"), "left_anti", hot.count()).union(parts)
-        marks = marks.union(thinned)
+    whole = []
+    for gram in FINER:
+        hot = stored(some.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT), "hot")
+        if hot.isEmpty():
+            break
+        parts, thinned = _split(some, hot, gram)
+        whole.append(join_small(some, hot.select(F.col("h").alias("__h")), F.col("h") == F.col("__h"), "left_anti", hot.count()))
+        some, marks = parts, marks.union(thinned)
+    some = functools.reduce(DataFrame.union, whole, some)
     return base, marks.union(some.repartition("h").sortWithinPartitions("h").mapInPandas(_shards, MARK))
 
 

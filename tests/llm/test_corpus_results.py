@@ -404,6 +404,21 @@ def test_an_anchor_of_many_contexts_is_split(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.removed(df).collect()} == brute_removed(texts)
 
 
+def test_a_split_makes_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 20)
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = some(24)
+    contexts = [(some(76) + line + some(76)).encode() for _ in range(300)]
+    rows = spark.createDataFrame([(1, k, k, 0, 76, bytearray(c)) for k, c in enumerate(contexts)], suffix.MARKED)
+    counts = spark.createDataFrame([(1, 300)], "h long, times long")
+    made = suffix._split(rows, counts, suffix.FINER[0])[0].collect()
+    # Each string of each context once, and the contexts cut into a few parts, not one for each place of the anchor.
+    assert sorted((r["doc_id"], p) for r in made for p in range(r["first"], r["last"] + 1)) == [(k, p) for k in range(300) for p in range(77)]
+    assert all(r["context"] == contexts[r["doc_id"]][r["first"] : r["last"] + 100] for r in made)
+    assert len(made) < 6 * 300
+
+
 def test_long_texts_come_in_pieces(spark, monkeypatch):
     text = "".join(random.Random(8).choice("abc ") for _ in range(3000))
     texts = {1: text[:2500], 2: "new" + text[700:1900] + "end", 3: text[2400:] + text[:300]}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, hostrules, mixing, ngram_join, surrogates
-from millrace.llm.common import dropped, join_small, recorded, stored, table
+from millrace.llm.common import dropped, join_small, recorded, small_batches, stored, table
 
 _LEFT: list[str] = []
 #: Columns of documents; others are carried through all stages as they are, whatever their names.
@@ -22,6 +22,7 @@ def _stage(function):
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         read = docs.inputFiles() if _LEFT else []
         for path in [p for p in _LEFT if not any(f"{p.rpartition('/')[2]}/" in f for f in read)]:
             dropped(spark, path)

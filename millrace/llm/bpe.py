@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held
+from millrace.llm.common import held, trimmed
 
 #: Unicode white space, which never stands inside a piece but at its start.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
@@ -265,6 +265,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, outputs: Itera
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):  # so that only some rows' ids are held at a time
                 yield encoded(vocabulary, batch.slice(low, ROWS))
+                trimmed()
 
     types = [docs.schema[c].dataType.simpleString() for c in carry] + [SQL_TYPES[k] for k in outputs]
     out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text_in")).mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,5 +93,24 @@ def held(operator: str) -> dict:
     for x in others:
         _HELD.pop(x).clear()
     if others:
-        pa.default_memory_pool().release_unused()
+        trimmed()
     return _HELD.setdefault(operator, {})
+
+
+def trimmed() -> None:
+    """Gives memory that this process has freed back to the machine, which the allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of rows that Spark sends to a Python worker at a time, 64 MB by itself. JVM and worker both hold a batch, outside the
+#: JVM's heap, for each task.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bytes of a batch, unless it has a value. No operator's results depend on how rows are batched."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)

@@ -2,11 +2,13 @@
 
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import arc, bpe, hmm, hostrules, mixing, ngram_join, pq, suffix, surrogates, toxicity
+from millrace.llm.common import BATCH
 
 LONG = " ".join(f"word{i % 97} and{i % 31}" for i in range(12_000))
 ROWS = [
@@ -85,6 +87,20 @@ def test_stages_on_null_and_repeated_ids(spark):
     assert sorted(map(tuple, made.collect())) == [(1, None, None), (2, "no data", 7)]
 
 
+def test_stages_send_small_batches(spark, none):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    corpus_pipeline.encoding(spark, none, "")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    sent = spark.range(6000).select(F.expr("repeat('x', 3000)").alias("text")).coalesce(1).mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in sent) <= 1.1 * BATCH and sum(r["n"] for r in sent) > 6000 * 3000
+    try:  # a session's own value stays
+        spark.conf.set(key, "1000000")
+        corpus_pipeline.encoding(spark, none, "")
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_defined_results(docs):
     found = {r["doc_id"]: r for r in ngram_join.groups(docs).collect()}
     assert found[2]["n_shingles"] == 0 and found[2]["component_id"] == 2
